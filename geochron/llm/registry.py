@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, topk, toxicity
+from . import bpe, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_pii": pii.op7_pii,
     "op8_top_k": topk.op8_top_k,
     "op9_bpe": bpe.op9_bpe,
