@@ -1,12 +1,11 @@
 """Removal of repeated substrings with suffix arrays.
 
 A byte goes if a string of WIDTH bytes that covers it also starts in a document with a smaller doc_id.  All suffixes of a
-corpus can't be sorted in one place, so documents are cut where content says so: of every WIDTH bytes the 26-byte gram with the
-smallest hash is an anchor, hence equal strings hold equal anchors at equal places.  Anchors that
-two documents share are looked up across the corpus; the bytes around each such anchor, 24 to its left and to its right,
-hold every string that contains it.  Those contexts, equal ones taken together, are gathered by anchor
-and their suffixes sorted (see gsaca); suffixes that agree in WIDTH bytes stand together and tell the smallest
-document their string starts in.
+corpus can't be sorted in one place, so strings are dealt by content: a string belongs to its anchor, the smallest hash of its 26-byte
+grams, hence equal strings to equal anchors.  Neighbouring strings of one anchor make a context, a run of WIDTH to WIDTH + 24 bytes.
+Anchors that two documents share are looked up across the corpus; equal contexts are taken together with the smallest document that has
+them.  Where an anchor has several contexts, these are gathered and their suffixes sorted (see gsaca): suffixes that
+agree in WIDTH bytes stand together and tell the smallest document their string starts in.
 
 Documents are handled in blocks of about BLOCK_BYTES; within a block equal anchors and contexts are merged before they are shuffled,
 so a passage that a third of all documents share reaches its task once a block.  Text is shuffled once, into a table bucketed by block.
@@ -20,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -41,36 +41,28 @@ SORT_BYTES = 3 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
-def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where anchors start, ascending, and their hashes.  No string of WIDTH bytes within a row is without one."""
-    n = len(buf) - GRAM + 1
-    if n < REACH + 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n)
-    gram = span_hash(prefix_hash(buf), at, at + GRAM) | np.uint64(1)
-
-    def slide(x: np.ndarray, f) -> np.ndarray:
-        """f over each REACH + 1 = 25 neighbours."""
-        for step in (1, 2, 4, 8):
-            x = f(x[:-step], x[step:])
-        return f(x[:-9], x[9:])
-
-    least = slide(gram, np.minimum)
-    # A window that runs over the end of its row doesn't count.
+def contexts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and end byte, and row of each context, in order of place.  Every string of WIDTH bytes within a row is in the context of its anchor."""
+    n = len(buf) - WIDTH + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    at = np.arange(len(buf) - GRAM + 1)
+    least = span_hash(prefix_hash(buf), at, at + GRAM) | np.uint64(1)
+    for step in (1, 2, 4, 8, 9):  # least of 2, 4, 8, 16 and 25 neighbours
+        least = np.minimum(least[:-step], least[step:])
     cut = off[1:-1]
-    for back in range(1, WIDTH):
+    for back in range(1, WIDTH):  # strings that run over the end of their row
         w = cut - back
-        least[w[(w >= 0) & (w < len(least))]] = 0
-    pad = np.zeros(REACH, np.uint64)
-    most = slide(np.concatenate([pad, least, pad]), np.maximum)
-    found = np.flatnonzero(most == gram)
-    return found, gram[found]
-
-
-def contexts(found: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end byte of each anchor's context, and its row."""
-    row = np.searchsorted(off, found, "right") - 1
-    return np.maximum(found - REACH, off[row]), np.minimum(found + WIDTH, off[row + 1]), row
+        least[w[(w >= 0) & (w < n)]] = 0
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    size = np.diff(np.append(first, n))
+    real = least[first] > 0
+    first, size = first[real], size[real]
+    # Repetitive text can have one anchor for long; such runs are cut.
+    parts = -(-size // (REACH + 1))
+    start = np.repeat(first, parts) + (REACH + 1) * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    end = np.minimum(start + REACH, np.repeat(first + size - 1, parts)) + WIDTH
+    return least[start], start, end, np.searchsorted(off, start, "right") - 1
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -100,7 +92,9 @@ def _block_texts(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("many", pa.binary())])
 _SHARED_ROWS = pa.schema([("block", pa.int32()), ("anchors", pa.binary())])
-_CONTEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+_CONTEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("owners", pa.binary())])
+_TEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+#: owners: the smallest owner of each context (keys); masks: what of the context its owner loses, or -1 for a question.
 _ANSWER_ROWS = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("masks", pa.binary())])
 
 
@@ -115,8 +109,25 @@ def _firsts(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order][new], order[new], owners[order][new]
 
 
-def _context_keys(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: np.ndarray) -> np.ndarray:
-    return mix64(span_hash(prefix_hash(buf), lo, hi) + (found - lo).astype(np.uint64))
+def _block_contexts(ids: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor, key (a hash of anchor and bytes), owner, first and end byte of every context of a block."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    for lo, hi, b, o in pieces(buf, off, max_rows=1 << 30):
+        gram, a, z, row = contexts(b, o)
+        parts.append((gram, span_hash(prefix_hash(b), a, z), ids[lo + row], a + off[lo], z + off[lo]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(edges)):
+        yield int(i), order[edges[i] : edges[i + 1]]
+
+
+def _answers(block: np.ndarray, keys: np.ndarray, owners: np.ndarray, masks: np.ndarray) -> pa.RecordBatch:
+    blocks, which = np.unique(block, return_inverse=True)
+    return _batch([{"block": int(blocks[i]), **_pack(keys=keys[part], owners=owners[part], masks=masks[part].astype(np.int32))} for i, part in _dealt(which, len(blocks))], _ANSWER_ROWS)
 
 
 def window_owners(data: np.ndarray, size: np.ndarray, owner: np.ndarray, string: np.ndarray) -> np.ndarray:
@@ -167,26 +178,13 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
     _let_go(spark)
 
     def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, buf, off = _block_texts(batches)
-        keys, docs_of = [], []
-        for lo, hi, b, o in pieces(buf, off, max_rows=1 << 30):
-            found, gram = anchors(b, o)
-            keys.append(gram)
-            docs_of.append(ids[lo + np.searchsorted(o, found, "right") - 1])
-        keys, docs_of = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *docs_of])
+        keys, _, docs_of, _, _ = _block_contexts(*_block_texts(batches))
         order = np.lexsort((docs_of, keys))
         keys, docs_of = keys[order], docs_of[order]
         new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(keys)) - 1
         many, keys = docs_of[new] != docs_of[last] if len(keys) else np.zeros(0, bool), keys[new]
-        bucket = _buckets(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = []
-        for i in np.flatnonzero(np.diff(edges)):
-            part = np.sort(order[edges[i] : edges[i + 1]])
-            out.append({"bucket": int(i), "block": key[0].as_py(), **_pack(anchors=keys[part], many=many[part])})
-        yield _batch(out, _ANCHOR_ROWS)
+        yield _batch([{"bucket": i, "block": key[0].as_py(), **_pack(anchors=keys[part], many=many[part])} for i, part in _dealt(_buckets(keys, buckets), buckets)], _ANCHOR_ROWS)
 
     def share(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = [(b, np.frombuffer(k, np.uint64), np.frombuffer(m, bool)) for x in batches for b, k, m in zip(x["block"].to_pylist(), x["anchors"].to_pylist(), x["many"].to_pylist())]
@@ -208,87 +206,89 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
         ids, buf, off = _block_texts(left.to_batches())
         if not wanted or not len(ids):
             return _CONTEXT_ROWS.empty_table()
-        wanted = np.sort(np.concatenate(wanted))
-        parts = []
-        for lo, hi, b, o in pieces(buf, off, max_rows=1 << 30):
-            at, gram = anchors(b, o)
-            some = np.flatnonzero(_in_sorted(gram, wanted))
-            a, z, row = contexts(at[some], o)
-            parts.append((gram[some], _context_keys(b, a, z, at[some]), ids[lo + row], a + off[lo], z + off[lo]))
-        gram, keys, owner, a, z = (np.concatenate(x) for x in zip(*parts))
-        keys, first, owner = _firsts(keys, owner)
-        gram, a, z = gram[first], a[first], z[first]
-        bucket = _buckets(gram, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        gram, keys, owner, _, _ = _block_contexts(ids, buf, off)
+        some = np.flatnonzero(_in_sorted(gram, np.sort(np.concatenate(wanted))))
+        keys, first, owner = _firsts(keys[some], owner[some])
+        gram = gram[some][first]
+        return pa.Table.from_batches([_batch([{"bucket": i, "block": key[0].as_py(), **_pack(anchors=gram[part], keys=keys[part], owners=owner[part])} for i, part in _dealt(_buckets(gram, buckets), buckets)], _CONTEXT_ROWS)])
+
+    def decide(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tells blocks of contexts that smaller documents have too, and asks for one copy of each context of anchors with several."""
+        rows = [r for b in batches for r in b.to_pylist()]
+        gram, keys = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("anchors", "keys"))
+        owner = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
+        block = np.repeat([r["block"] for r in rows], [len(r["keys"]) // 8 for r in rows])
+        order = np.lexsort((owner, keys, gram))
+        g, k = gram[order], keys[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))
+        one = order[new]
+        least = np.empty(len(order), np.int64)
+        least[order] = owner[one][np.cumsum(new) - 1]
+        string = np.cumsum(np.append(True, gram[one][1:] != gram[one][:-1])) - 1
+        ask = one[np.bincount(string)[string] > 1]
+        tell = np.flatnonzero(least < owner)
+        every = np.concatenate([tell, ask])
+        yield _answers(block[every], keys[every], least[every], np.append(np.zeros(len(tell)), np.full(len(ask), -1)))
+
+    def fetch(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = _heard(right)
+        asked = np.sort(asked[0][asked[2] < 0])
+        ids, buf, off = _block_texts(left.to_batches())
+        if not len(asked) or not len(ids):
+            return _TEXT_ROWS.empty_table()
+        gram, keys, owner, a, z = _block_contexts(ids, buf, off)
+        some = np.flatnonzero(_in_sorted(keys, asked))
+        keys, first, owner = _firsts(keys[some], owner[some])
+        gram, a, z = gram[some][first], a[some][first], z[some][first]
         out = []
-        for i in np.flatnonzero(np.diff(edges)):
-            part = order[edges[i] : edges[i + 1]]
+        for i, part in _dealt(_buckets(gram, buckets), buckets):
             n = (z - a)[part]
             data = buf[np.repeat(a[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            out.append({"bucket": int(i), "block": key[0].as_py(), **_pack(anchors=gram[part], keys=keys[part], owners=owner[part], sizes=n.astype(np.uint8), bytes=data)})
-        return pa.Table.from_batches([_batch(out, _CONTEXT_ROWS)])
+            out.append({"bucket": i, "block": key[0].as_py(), **_pack(anchors=gram[part], keys=keys[part], owners=owner[part], sizes=n.astype(np.uint8), bytes=data)})
+        return pa.Table.from_batches([_batch(out, _TEXT_ROWS)])
 
     def sort(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, gram, keys, owner, size, data = [], [], [], [], [], []
-        for b in batches:
-            for r in b.to_pylist():
-                gram.append(np.frombuffer(r["anchors"], np.uint64))
-                keys.append(np.frombuffer(r["keys"], np.uint64))
-                owner.append(np.frombuffer(r["owners"], np.int64))
-                size.append(np.frombuffer(r["sizes"], np.uint8).astype(np.int64))
-                data.append(np.frombuffer(r["bytes"], np.uint8))
-                block.append(np.full(len(gram[-1]), r["block"]))
-        block, gram, keys, owner, size, data = map(np.concatenate, (block, gram, keys, owner, size, data))
+        rows = [r for b in batches for r in b.to_pylist()]
+        gram, keys = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("anchors", "keys"))
+        owner = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
+        size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in rows]).astype(np.int64)
+        data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
+        block = np.repeat([r["block"] for r in rows], [len(r["keys"]) // 8 for r in rows])
         begin = np.cumsum(size) - size
-        # Equal contexts of several blocks are one, whose owner is the smallest.
-        order = np.lexsort((owner, keys, gram))
-        g, k = gram[order], keys[order]
-        new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
-        which = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))) - 1
-        one = order[new]
-        least = owner[one]
-        mask = np.zeros(len(one), np.int64)
-        # Anchors with several contexts, each a string of its own to be suffix-sorted.
-        string = np.cumsum(np.append(True, g[new][1:] != g[new][:-1])) - 1
-        several = np.flatnonzero(np.bincount(string)[string] > 1)
-        n = size[one[several]]
-        ends = np.append(np.flatnonzero(np.diff(string[several])) + 1, len(several)) if len(several) else np.zeros(0, np.int64)
+        order = np.argsort(gram, kind="stable")
+        string = np.cumsum(np.append(True, gram[order][1:] != gram[order][:-1])) - 1
+        # Strings of like length together: they are sorted in step.
+        weight = np.bincount(string, weights=size[order])
+        again = np.lexsort((string, weight[string]))
+        order, string = order[again], string[again]
+        n = size[order]
+        ends = np.append(np.flatnonzero(np.diff(string)) + 1, len(order))
         bulk, lo = np.cumsum(n), 0
-        while lo < len(several):
+        mask = np.zeros(len(order), np.int64)
+        while lo < len(order):
             goal = (bulk[lo - 1] if lo else 0) + SORT_BYTES
             hi = int(ends[min(np.searchsorted(ends, max(np.searchsorted(bulk, goal), lo + 1)), len(ends) - 1)])
-            part, m = several[lo:hi], n[lo:hi]
-            text = data[np.repeat(begin[one[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-            mask[part] = window_owners(text, m, least[part], string[part])
+            part, m = order[lo:hi], n[lo:hi]
+            text = data[np.repeat(begin[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            mask[lo:hi] = window_owners(text, m, owner[part], string[lo:hi])
             lo = hi
-        # A block needs to hear of a context if a smaller document elsewhere has it, or if its own owner loses part of it.
-        answer = np.empty(len(order), np.int64)
-        answer[order] = which
-        heard = np.flatnonzero((least[answer] < owner) | (mask[answer] != 0))
-        heard = heard[np.argsort(block[heard], kind="stable")]
-        edges = np.flatnonzero(np.append(True, np.diff(block[heard]) != 0)) if len(heard) else np.zeros(0, np.int64)
-        out = []
-        for i, j in zip(edges, np.append(edges[1:], len(heard))):
-            part = heard[i:j]
-            out.append({"block": int(block[part[0]]), **_pack(keys=keys[part], owners=least[answer[part]], masks=mask[answer[part]].astype(np.int32))})
-        yield _batch(out, _ANSWER_ROWS)
+        loses = mask != 0
+        yield _answers(block[order][loses], keys[order][loses], owner[order][loses], mask[loses])
 
     gathered = cut.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(gather, _ddl(_CONTEXT_ROWS))
-    answers = written(gathered.groupBy("bucket").applyInArrow(sort, _ddl(_ANSWER_ROWS)), "answers")
+    told = written(gathered.groupBy("bucket").applyInArrow(decide, _ddl(_ANSWER_ROWS)), "told")
+    _let_go(spark)
+    fetched = cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(fetch, _ddl(_TEXT_ROWS))
+    lost = written(fetched.groupBy("bucket").applyInArrow(sort, _ddl(_ANSWER_ROWS)), "lost")
     _let_go(spark)
+    answers = told.unionByName(lost)
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        heard = [(np.frombuffer(k, np.uint64), np.frombuffer(o, np.int64), np.frombuffer(m, np.int32)) for k, o, m in zip(right["keys"].to_pylist(), right["owners"].to_pylist(), right["masks"].to_pylist())]
+        know, own, masks = _heard(right)
+        real = masks >= 0
+        know, own, masks = know[real], own[real], masks[real]
         ids, buf, off = _block_texts(left.to_batches())
-        parts = []
-        for lo, hi, b, o in pieces(buf, off, max_rows=1 << 30):
-            at, gram = anchors(b, o)
-            a, z, row = contexts(at, o)
-            parts.append((_context_keys(b, a, z, at), ids[lo + row], a + off[lo], z + off[lo]))
-        none = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-        keys, owner, a, z = (np.concatenate(x) for x in zip(*(parts or none)))
-        know, own, masks = (np.concatenate(x) for x in zip(*heard)) if heard else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        _, keys, owner, a, z = _block_contexts(ids, buf, off)
         # The smallest owner of each context: here, or as heard.
         order = np.argsort(keys, kind="stable")
         new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -303,7 +303,7 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
             least[hit] = np.minimum(least[hit], own[s][place[hit]])
             lost[hit] = masks[s][place[hit]]
         change = np.zeros(len(buf) + 1, np.int64)
-        full = np.flatnonzero((least < owner) & (z - a >= WIDTH))
+        full = np.flatnonzero(least < owner)
         np.add.at(change, a[full], 1)
         np.add.at(change, z[full], -1)
         rest = np.flatnonzero((lost != 0) & (least == owner))
@@ -328,6 +328,10 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
     return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
 
 
+def _heard(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in answers[c].to_pylist())]) for c, t in (("keys", np.uint64), ("owners", np.int64), ("masks", np.int32)))
+
+
 def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), bool)
@@ -335,9 +339,11 @@ def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _let_go(spark: SparkSession) -> None:
-    """What earlier steps shuffled isn't needed once their result is a table: lets Spark's cleaner have it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """What earlier steps shuffled isn't needed once their result is a table: lets Spark's cleaner, which runs on its own, have it."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
