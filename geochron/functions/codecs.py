@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import RING_T, SHAPE_T, make, mbr, xyz
+from ..types import SHAPE_T, box, circle, let, make, mbr, xyz
 
 GEORSS = "http://www.georss.org/georss/"
 
@@ -22,15 +22,19 @@ def _numbers(text: Column, separator: str = r"\s+") -> Column:
     """The doubles of a separated list; null if any part isn't a number."""
     parts = F.filter(F.split(F.trim(text), separator, -1), lambda s: s != "")
     values = F.transform(parts, lambda s: s.try_cast("double"))
-    return F.when((F.size(values) > 0) & F.forall(values, lambda v: v.isNotNull()), values)
+    return let(values, lambda x: F.when((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull()), x))
 
 
 def _points(values: Column, dim: int | Column) -> Column:
     """Groups of dim numbers as points; null if they don't come out even."""
     dim = F.lit(dim) if isinstance(dim, int) else dim
-    n = F.size(values)
-    at = F.when((n >= dim) & (n % dim == 0), F.sequence(F.lit(0), F.greatest(n - dim, F.lit(0)), dim))
-    return F.transform(at, lambda i: xyz(F.get(values, i), F.get(values, i + 1), F.when(dim > 2, F.get(values, i + 2))))
+
+    def grouped(x: Column) -> Column:
+        n = F.size(x)
+        at = F.when((n >= dim) & (n % dim == 0), F.sequence(F.lit(0), F.greatest(n - dim, F.lit(0)), dim))
+        return F.transform(at, lambda i: xyz(F.get(x, i), F.get(x, i + 1), F.when(dim > 2, F.get(x, i + 2))))
+
+    return let(values, grouped)
 
 
 # WKT
@@ -39,12 +43,12 @@ def _points(values: Column, dim: int | Column) -> Column:
 def _wkt_points(text: Column) -> Column:
     """'1 2, 3 4' as points; null if one of them isn't 2 to 4 numbers."""
     rows = F.transform(F.split(text, ",", -1), lambda t: _numbers(t))
-    whole = F.forall(rows, lambda r: r.isNotNull() & F.size(r).between(2, 4))
-    return F.when(whole, F.transform(rows, lambda r: xyz(r[0], r[1], F.get(r, F.lit(2)))))
+    whole = lambda x: F.forall(x, lambda r: r.isNotNull() & F.size(r).between(2, 4))
+    return let(rows, lambda x: F.when(whole(x), F.transform(x, lambda r: xyz(r[0], r[1], F.get(r, F.lit(2))))))
 
 
 def _all_or_none(items: Column) -> Column:
-    return F.when(F.forall(items, lambda r: r.isNotNull()), items)
+    return let(items, lambda x: F.when(F.forall(x, lambda r: r.isNotNull()), x))
 
 
 def _dim(rings: Column) -> Column:
@@ -53,40 +57,43 @@ def _dim(rings: Column) -> Column:
 
 def _tagged(text: Column) -> Column:
     """Shapes of one tagged text: one, or all parts of a multi-geometry; null if malformed, none if empty."""
-    kind = F.regexp_extract(text, r"^\s*([A-Z]+)", 1)
     body = F.trim(F.regexp_replace(text, r"^\s*[A-Z]+\s*(ZM|Z|M)?", ""))
-    lists = F.regexp_extract_all(body, F.lit(r"\(([^()]*)\)"), F.lit(1))
-    rings = _all_or_none(F.transform(lists, _wkt_points))
+    return let(F.struct(F.regexp_extract(text, r"^\s*([A-Z]+)", 1).alias("kind"), body.alias("body")), lambda t: _parsed(t["kind"], t["body"]))
+
+
+def _parsed(kind: Column, body: Column) -> Column:
+    inner = lambda t: F.regexp_extract_all(t, F.lit(r"\(([^()]*)\)"), F.lit(1))
+    rings_of = lambda t: _all_or_none(F.transform(inner(t), lambda r: _wkt_points(r)))
     # A polygon of several is what stands between '((' and '))'.
-    areas = F.transform(F.regexp_extract_all(body, F.lit(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"), F.lit(1)), lambda p: _all_or_none(F.transform(F.regexp_extract_all(p, F.lit(r"\(([^()]*)\)"), F.lit(1)), _wkt_points)))
+    areas = F.regexp_extract_all(body, F.lit(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"), F.lit(1))
     balanced = F.length(F.regexp_replace(body, r"[^(]", "")) == F.length(F.regexp_replace(body, r"[^)]", ""))
-    one = F.size(rings) == 1
     shape = lambda name, r: make(name, r, _dim(r)).cast(SHAPE_T)
-    found = (
-        F.when((kind == "POINT") & one & (F.size(rings[0]) == 1), F.array(shape("point", rings)))
-        .when((kind == "LINESTRING") & one, F.array(shape("linestring", rings)))
-        .when(kind == "POLYGON", F.array(shape("polygon", rings)))
-        .when((kind == "MULTIPOINT") & F.forall(rings, lambda r: F.size(r) == 1), F.transform(rings, lambda r: shape("point", F.array(r))))
-        .when(kind == "MULTILINESTRING", F.transform(rings, lambda r: shape("linestring", F.array(r))))
-        .when(kind == "MULTIPOLYGON", F.transform(_all_or_none(areas), lambda p: shape("polygon", p)))
-    )
-    known = kind.isin("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
-    return F.when(known & (body == "EMPTY"), F.array().cast(f"array<{SHAPE_T}>")).when(known & balanced & (F.size(lists) > 0), found)
+    simple = {"POINT": "point", "LINESTRING": "linestring", "POLYGON": "polygon"}
+
+    def flat(rings: Column) -> Column:
+        one = F.size(rings) == 1
+        name = F.when((kind == "POINT") & one & (F.size(rings[0]) == 1), "point").when((kind == "LINESTRING") & one, "linestring").when(kind == "POLYGON", "polygon")
+        apart = F.when((kind == "MULTIPOINT") & F.forall(rings, lambda r: F.size(r) == 1), "point").when(kind == "MULTILINESTRING", "linestring")
+        return F.when(name.isNotNull(), F.array(shape(name, rings))).when(apart.isNotNull(), F.transform(rings, lambda r: shape(apart, F.array(r))))
+
+    known = kind.isin(*simple, *("MULTI" + k for k in simple))
+    many = F.transform(_all_or_none(F.transform(areas, lambda p: rings_of(p))), lambda p: shape("polygon", p))
+    found = F.when(kind == "MULTIPOLYGON", many).otherwise(let(rings_of(body), flat))
+    return F.when(known & (body == "EMPTY"), F.array().cast(f"array<{SHAPE_T}>")).when(known & balanced & body.contains("("), found)
 
 
 def wkt_shapes(text: Column) -> Column:
     """The shapes of a WKT text: one, the parts of a multi-geometry or collection (none if EMPTY), or null if it isn't WKT."""
     body = F.regexp_extract(text, r"^\s*GEOMETRYCOLLECTION\s*\((.*)\)\s*$", 1)
     parts = F.regexp_extract_all(body, F.lit(r"[A-Z]{5,}(?:\s*(?:ZM|Z|M)\b)?(?:[^A-DF-Z]|E(?=[0-9+-])|EMPTY)*"), F.lit(0))
-    shapes = F.flatten(_all_or_none(F.transform(parts, _tagged)))
+    shapes = F.flatten(_all_or_none(F.transform(parts, lambda p: _tagged(p))))
     empty = F.when(F.trim(text).rlike(r"^GEOMETRYCOLLECTION\s+EMPTY$"), F.array().cast(f"array<{SHAPE_T}>"))
     return F.when(text.rlike(r"^\s*GEOMETRYCOLLECTION"), F.coalesce(empty, F.when(F.size(parts) > 0, shapes))).otherwise(_tagged(text))
 
 
 def wkt_shape(text: Column) -> Column:
     """The shape of a WKT point, linestring or polygon; null for anything else."""
-    shapes = wkt_shapes(text)
-    return F.when(text.rlike(r"^\s*(POINT|LINESTRING|POLYGON)\b") & (F.size(shapes) == 1), shapes[0])
+    return F.when(text.rlike(r"^\s*(POINT|LINESTRING|POLYGON)\b"), let(_tagged(text), lambda s: F.when(F.size(s) == 1, s[0])))
 
 
 def _join(points: Column, between: str, inside: str) -> Column:
@@ -119,19 +126,17 @@ def _xml_all(xml: Column, pattern: str) -> Column:
 def gml_shape(gml: Column) -> Column:
     """Point/pos, LineString/posList, Polygon with exterior and interiors, and Envelope; any prefix; null for anything else."""
     has = lambda tag: gml.rlike(rf"<(?:\w+:)?{tag}\b")
-    pos = _numbers(_xml_text(gml, "pos"))
-    one = F.when(F.size(pos).between(2, 4), F.array(F.array(xyz(pos[0], pos[1], F.get(pos, F.lit(2))))))
-    line = F.array(_points(_numbers(_xml_text(gml, "posList")), 2))
+    point = let(_numbers(_xml_text(gml, "pos")), lambda p: F.when(F.size(p).between(2, 4), make("point", F.array(F.array(xyz(p[0], p[1], F.get(p, F.lit(2))))), F.when(F.size(p) > 2, 3).otherwise(2)).cast(SHAPE_T)))
+    line = let(_points(_numbers(_xml_text(gml, "posList")), 2), lambda p: F.when(p.isNotNull(), make("linestring", F.array(p)).cast(SHAPE_T)))
     ring = lambda side: _xml_all(gml, rf"(?s)<(?:\w+:)?{side}>\s*<(?:\w+:)?LinearRing[^>]*>\s*<(?:\w+:)?posList[^>]*>([^<]*)<")
-    area = _all_or_none(F.transform(F.concat(ring("exterior"), ring("interior")), lambda t: _points(_numbers(t), 2)))
-    lower, upper = _numbers(_xml_text(gml, "lowerCorner")), _numbers(_xml_text(gml, "upperCorner"))
-    from ..types import box
-
+    area = let(_all_or_none(F.transform(F.concat(ring("exterior"), ring("interior")), lambda t: _points(_numbers(t), 2))), lambda r: F.when(r.isNotNull(), make("polygon", r).cast(SHAPE_T)))
+    ends = F.struct(_numbers(_xml_text(gml, "lowerCorner")).alias("a"), _numbers(_xml_text(gml, "upperCorner")).alias("b"))
+    corners = let(ends, lambda c: F.when((F.size(c["a"]) >= 2) & (F.size(c["b"]) >= 2), box(c["a"][0], c["a"][1], c["b"][0], c["b"][1]).cast(SHAPE_T)))
     return (
-        F.when(has("Polygon") & (F.size(ring("exterior")) == 1) & area.isNotNull(), make("polygon", area).cast(SHAPE_T))
-        .when(has("LineString") & line[0].isNotNull(), make("linestring", line).cast(SHAPE_T))
-        .when(has("Envelope") & (F.size(lower) >= 2) & (F.size(upper) >= 2), box(lower[0], lower[1], upper[0], upper[1]).cast(SHAPE_T))
-        .when(has("Point") & one.isNotNull(), make("point", one, _dim(one)).cast(SHAPE_T))
+        F.when(has("Polygon"), F.when(F.size(ring("exterior")) == 1, area))
+        .when(has("LineString"), line)
+        .when(has("Envelope"), corners)
+        .when(has("Point"), point)
     )
 
 
@@ -156,8 +161,8 @@ def shape_gml(shape: Column) -> Column:
 def _kml_points(text: Column) -> Column:
     """'long,lat[,alt] ...' as points; an altitude of 0 is none."""
     rows = F.transform(F.filter(F.split(F.trim(text), r"\s+", -1), lambda s: s != ""), lambda s: _numbers(s, ","))
-    whole = (F.size(rows) > 0) & F.forall(rows, lambda r: r.isNotNull() & F.size(r).between(2, 3))
-    return F.when(whole, F.transform(rows, lambda r: xyz(r[1], r[0], F.nullif(F.get(r, F.lit(2)), F.lit(0.0)))))
+    whole = lambda x: (F.size(x) > 0) & F.forall(x, lambda r: r.isNotNull() & F.size(r).between(2, 3))
+    return let(rows, lambda x: F.when(whole(x), F.transform(x, lambda r: xyz(r[1], r[0], F.nullif(F.get(r, F.lit(2)), F.lit(0.0))))))
 
 
 _COORDINATES = r"<(?:\w+:)?coordinates[^>]*>([^<]*)</"
@@ -175,8 +180,8 @@ def kml_shapes(kml: Column) -> Column:
         all_rings = _all_or_none(F.transform(F.concat(side("outerBoundaryIs"), inner), _kml_points))
         return F.when(F.size(side("outerBoundaryIs")) == 1, all_rings)
 
-    def one(kind: str, r: Column) -> Column:
-        return F.when(r.isNotNull() & r[0].isNotNull(), make(kind, r, _dim(r)).cast(SHAPE_T))
+    def one(kind: str, rings: Column) -> Column:
+        return let(rings, lambda r: F.when(r.isNotNull() & r[0].isNotNull(), make(kind, r, _dim(r)).cast(SHAPE_T)))
 
     shapes = F.concat(
         F.transform(simple("Point"), lambda t: one("point", F.array(_kml_points(t)))),
@@ -233,19 +238,20 @@ def xml_escaped(v: Column) -> Column:
 
 def georss_shape(predicate: Column, text: Column) -> Column:
     """point, line (or linearring), polygon, box and circle literals; null for what doesn't parse, such as a point of three numbers."""
-    values = _numbers(text)
     local = F.substring_index(predicate, "/", -1)
-    pts = _points(values, 2)
-    rings = F.array(pts)
-    from ..types import box, circle
 
-    return (
-        F.when((local == "point") & (F.size(values) == 2), make("point", rings).cast(SHAPE_T))
-        .when(local.isin("line", "linearring") & pts.isNotNull(), make("linestring", rings).cast(SHAPE_T))
-        .when((local == "polygon") & pts.isNotNull(), make("polygon", rings).cast(SHAPE_T))
-        .when((local == "box") & (F.size(values) == 4), box(F.get(values, F.lit(0)), F.get(values, F.lit(1)), F.get(values, F.lit(2)), F.get(values, F.lit(3))).cast(SHAPE_T))
-        .when((local == "circle") & (F.size(values) == 3), circle(F.get(values, F.lit(0)), F.get(values, F.lit(1)), F.get(values, F.lit(2))).cast(SHAPE_T))
-    )
+    def read(x: Column) -> Column:
+        n = F.size(x)
+        at = lambda i: F.get(x, F.lit(i))
+        kind = F.when((local == "point") & (n == 2), "point").when(local.isin("line", "linearring"), "linestring").when(local == "polygon", "polygon")
+        flat = let(_points(x, 2), lambda p: F.when(kind.isNotNull() & p.isNotNull(), make(kind, F.array(p)).cast(SHAPE_T)))
+        return (
+            F.when((local == "box") & (n == 4), box(at(0), at(1), at(2), at(3)).cast(SHAPE_T))
+            .when((local == "circle") & (n == 3), circle(at(0), at(1), at(2)).cast(SHAPE_T))
+            .otherwise(flat)
+        )
+
+    return let(_numbers(text), read)
 
 
 def georss_predicate(shape: Column) -> Column:

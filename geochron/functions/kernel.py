@@ -6,10 +6,23 @@ crossings are counted without division.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import points_of, xyz
+from ..types import let, points_of, xyz
+
+
+def bound(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    """f of two shapes, each of which enters the plan once."""
+
+    @wraps(f)
+    def g(a: Column, b: Column) -> Column:
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda s: f(s["a"], s["b"]))
+
+    return g
 
 
 def segments(ring: Column) -> Column:
@@ -97,6 +110,7 @@ def _circle(shape: Column) -> Column:
     return shape["kind"] == "circle"
 
 
+@bound
 def intersects(a: Column, b: Column) -> Column:
     """The shapes share a point; a circle stands for the disc of its radius."""
     meet = F.exists(edges_of(a), lambda s: F.exists(edges_of(b), lambda t: segments_meet(s, t)))
@@ -111,10 +125,11 @@ def _midpoints(s: Column, rings: Column) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     along = F.transform(F.filter(F.flatten(rings), lambda v: on_segment(v, s)), lambda v: ((v["x"] - a["x"]) * dx + (v["y"] - a["y"]) * dy) / (dx * dx + dy * dy))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(along, lambda t: (t > 0) & (t < 1)))))
-    n = F.size(cuts) - 1
-    return F.zip_with(F.slice(cuts, F.lit(1), n), F.slice(cuts, F.lit(2), n), lambda t, u: xyz(a["x"] + (t + u) / 2 * dx, a["y"] + (t + u) / 2 * dy))
+    middle = lambda t, u: xyz(a["x"] + (t + u) / 2 * dx, a["y"] + (t + u) / 2 * dy)
+    return let(cuts, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), middle))
 
 
+@bound
 def contains(a: Column, b: Column) -> Column:
     """No point of b is outside a, and their interiors meet: a point on a polygon's boundary isn't contained."""
     p = b["rings"][0][0]
@@ -141,6 +156,7 @@ def contains(a: Column, b: Column) -> Column:
     )
 
 
+@bound
 def touches(a: Column, b: Column) -> Column:
     """The shapes meet, but only where one of them has its boundary."""
     cross = F.exists(edges_of(a), lambda s: F.exists(edges_of(b), lambda t: segments_cross(s, t)))
@@ -180,6 +196,7 @@ def _farthest(a: Column, b: Column) -> Column:
     return F.array_max(F.transform(points_of(b), lambda q: _between(a["rings"][0][0], q)))
 
 
+@bound
 def distance(a: Column, b: Column) -> Column:
     """In coordinate units (degrees): 0 if the shapes intersect."""
     points = (a["kind"] == "point") & (b["kind"] == "point")

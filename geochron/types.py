@@ -8,7 +8,7 @@ compared.  A multi-geometry is an array of shapes, true of whatever one of its p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ def col(v: Number | str) -> Column:
     return F.col(v) if isinstance(v, str) else F.lit(float(v))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value as one node of the plan however often it is used: a plan of nested uses would else grow with their product."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def xyz(x: Number, y: Number, z: Number | None = None) -> Column:
     z = F.lit(None) if z is None else col(z)
     return F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"), z.cast("double").alias("z"))
