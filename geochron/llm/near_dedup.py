@@ -12,7 +12,9 @@ Of every bucket all members are compared with its smallest vertex; a pair is a l
 Jaccard similarity is at least 0.8.  Links give components; then members of a bucket that
 weren't linked to its smallest vertex are compared with the bucket's members in other components, but for pairs that can't
 be links: by the triangle inequality of the Jaccard distance with the smallest vertex between them, or because fewer than
-AGREE of their samples agree (which a link of similarity 0.8 does with probability 0.0005).  Classes are the components.
+AGREE of their samples agree (which a link of similarity 0.8 does with probability 0.0005).  A bucket with many members to compare
+is cut into blocks of about BLOCK members; a task compares two blocks by matrix products, without a row for each pair, and
+returns only links that join components.  Classes are the components.
 
 Defined cases: null text counts as empty; texts without words have one weighted set,
 the empty one, and are copies of each other; repeated rows are copies; class_id is the
@@ -38,6 +40,8 @@ BANDS, ROWS = 12, 4
 RARE = 256
 #: Of BANDS * ROWS = 48 samples, compared by 4 bits each: at similarity 0.8 on average 39 agree, with a deviation of 2.7.
 AGREE = 30
+#: Buckets with more pairs to compare than this are compared block by block.
+PAIRS, BLOCK = 2048, 192
 _CELL_BITS, _SLICE_BITS = 20, 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -270,6 +274,77 @@ def similarities(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
     return one.join(right, "b").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
+_PACKED = pa.schema([("band", pa.int32()), ("h", pa.int64()), ("blk", pa.int64()), ("blocks", pa.int64()), *((c, pa.binary()) for c in ("ids", "comps", "sizes", "keys", "weights"))])
+
+
+def _pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All sets of a block in one row."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+    weights = [np.broadcast_to(np.frombuffer(r["weights"], np.float32), k.shape) for r, k in zip(rows, keys)]
+    col = lambda x, t: np.array(x, t).tobytes()
+    row = {"band": rows[0]["band"], "h": rows[0]["h"], "blk": rows[0]["blk"], "blocks": rows[0]["blocks"], "ids": col([r["v"] for r in rows], np.int64), "comps": col([r["c"] for r in rows], np.int64)}
+    row |= {"sizes": col([len(k) for k in keys], np.int64), "keys": np.concatenate(keys).tobytes(), "weights": np.concatenate(weights).tobytes()}
+    yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
+
+
+def _compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks, or within one, that join components."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["blk"])
+    join = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
+    ids, comps, sizes = join("ids", np.int64), join("comps", np.int64), join("sizes", np.int64)
+    edges = []
+    if (comps != comps[0]).any():
+        first = len(rows[0]["ids"]) // 8
+        sim = common_weights(join("keys", np.uint32), join("weights", np.float32).astype(np.float64), sizes)
+        total = np.diag(sim).copy()
+        sim = sim / (total[:, None] + total[None, :] - sim)
+        wanted = (sim >= SIMILARITY) & (comps[:, None] != comps[None, :]) & (np.arange(len(ids))[:, None] < np.arange(len(ids)))
+        if len(rows) > 1:
+            wanted[:first, :first] = wanted[first:, first:] = False
+        up = {int(c): int(c) for c in comps}
+        for i, j in np.argwhere(wanted).tolist():
+            a, b = int(comps[i]), int(comps[j])
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            if a != b:
+                up[b] = a
+                edges.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in edges], pa.int64()), pa.array([int(b) for _, b in edges], pa.int64())], ["a", "b"])
+
+
+def common_weights(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray, width: int = 4096) -> np.ndarray:
+    """For every two sets (back to back in keys and weights) the sum over keys of the smaller weight.
+
+    Each weight of a key is a step above the next smaller one; a set has the steps up to its own weight, so the sum
+    of the steps that two sets share is a product of matrices, taken over ``width`` steps at a time.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((weights, keys))
+    k, w, row = keys[order], weights[order], row[order]
+    new_key = np.append(True, k[1:] != k[:-1])
+    new_step = new_key | np.append(True, w[1:] != w[:-1])
+    step = np.cumsum(new_step) - 1
+    height = w[new_step] - np.where(new_key[new_step], 0, np.append(0, w[new_step][:-1]))
+    bottom = np.maximum.accumulate(np.where(new_key, step, 0))
+    n = step - bottom + 1
+    col = np.repeat(bottom - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    row = np.repeat(row, n)
+    out = np.zeros((len(sizes), len(sizes)))
+    again = np.argsort(col, kind="stable")
+    col, row = col[again], row[again]
+    cut = np.searchsorted(col, np.arange(0, len(height) + width, width))
+    for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
+        x = np.zeros((len(sizes), min(width, len(height) - i * width)))
+        if not x.shape[1]:
+            break
+        x[row[lo:hi], col[lo:hi] - i * width] = 1
+        out += (x * height[i * width : i * width + x.shape[1]]) @ x.T
+    return out
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """v, c: the smallest vertex of each vertex's component, by rounds of minimum labels with pointer jumping; vertices without edges are left out."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("v", "u"), "near-edges")
@@ -312,10 +387,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     marks = vertex.select("v", "buckets", *[F.get("sketch", F.lit(i)).alias(f"k{i}") for i in range(3)])
     state = shared.withColumns({"low": low, "high": high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(marks, "v")
     state = written(state.select("band", "h", "v", "weight", "c", "low", "high", "buckets", "k0", "k1", "k2", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")), "near-state")
+    size = state.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("r")).where("r > 0")
+    state = state.join(written(size, "near-open"), ["band", "h"])
+    large = state.where(F.col("n") * F.col("r") > PAIRS).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("v"), "blocks"))
+    packed = large.select("band", "h", "blocks", "blk", "v", "c").join(vecs, "v").groupBy("band", "h", "blk").applyInArrow(_pack, "band int, h long, blk long, blocks long, ids binary, comps binary, sizes binary, keys binary, weights binary")
+    meet = written(packed, "near-packed").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    joined = written(meet.groupBy("band", "h", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")).applyInArrow(_compare, "a long, b long"), "near-joined")
+    state = state.where(F.col("n") * F.col("r") <= PAIRS)
     rest = state.where("not linked")
     names = [c for c in state.columns if c not in ("band", "h")]
-    others = state.join(written(rest.select("band", "h").distinct(), "near-open"), ["band", "h"], "left_semi")
-    others = others.toDF(*[f"u_{c}" if c in names else c for c in others.columns])
+    others = state.toDF(*[f"u_{c}" if c in names else c for c in state.columns])
     u = lambda c: F.col("u_" + c)
     apart = F.greatest(F.col("low") - u("high"), u("low") - F.col("high"))
     earlier = F.exists(F.slice(F.zip_with("buckets", "u_buckets", lambda x, y: x == y), F.lit(1), F.col("band")), lambda x: x)
@@ -324,7 +405,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     more = rest.join(others.withColumnsRenamed({"band": "u_band", "h": "u_h"}), (F.col("band") == F.col("u_band")) & (F.col("h") == F.col("u_h")) & worth)
     more = written(more.select(F.least("v", "u_v").alias("a"), F.greatest("v", "u_v").alias("b")).distinct(), "near-pairs")
     found = similarities(more, vecs).where(F.col("sim") >= SIMILARITY).select("a", "b")
-    comp = written(components(spark, edges.union(found)), "near-components")
+    comp = written(components(spark, edges.union(found).union(joined)), "near-components")
     classes = member.select("doc_id", "v").join(comp, "v", "left").select("doc_id", F.col("v").alias("vertex_id"), F.coalesce("c", "v").alias("class_id"))
     classes = written(classes, "near-classes")
     sizes = written(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "near-sizes")
