@@ -51,13 +51,12 @@ def suffix_arrays(text: np.ndarray, start: np.ndarray) -> np.ndarray:
         mine = np.repeat(lo, sizes)
         # Previous-smaller pointers: pass over suffixes of larger groups, and over fellow members, whose own pointers are being found.
         cur = before[member]
-        while True:
-            pass_over = (cur >= 0) & (group[cur] >= mine)
-            if not pass_over.any():
-                break
-            cur[pass_over] = before[cur[pass_over]]
-            before[member] = cur
-        before[member] = cur
+        active = np.flatnonzero((cur >= 0) & (group[cur] >= mine))
+        while len(active):
+            c = before[cur[active]]
+            cur[active] = c
+            before[member[active]] = c
+            active = active[(c >= 0) & (group[c] >= mine[active])]
         # How often each earlier suffix was pointed at; it moves by that many repeats.
         told = cur[cur >= 0]
         if len(told):

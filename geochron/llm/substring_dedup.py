@@ -169,7 +169,7 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = max(64, 2 * blocks)
+    buckets = max(64, blocks // 2)
     files = max(1, min(blocks, 4096))
     name = f"substring_blocks_{uuid.uuid4().hex}"
     cut = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
