@@ -15,6 +15,7 @@ no rows; further columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +41,11 @@ CONTEXT = 24
 _SPANS = "array<struct<lo:int,hi:int,m:string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Where the pattern matches: what lies between the matches gives their places."""
+def spans(text: Column, pattern: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    """Where the pattern matches, as far as valid: what lies between the matches gives their places.
+
+    Only valid matches are put into the array, which is copied when it grows: a text full of short numbers costs nothing more.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     both = F.zip_with(between, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("m")))
@@ -50,11 +54,16 @@ def spans(text: Column, pattern: str) -> Column:
     def step(s: Column, x: Column) -> Column:
         lo = s["at"] + x["gap"]
         one = F.struct(lo.alias("lo"), (lo + x["len"]).alias("hi"), x["m"].alias("m"))
-        return F.struct((lo + x["len"]).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        return F.struct((lo + x["len"]).alias("at"), _kept(s["out"], one, x["m"], valid).alias("out"))
 
     return F.aggregate(both, start, step, lambda s: s["out"])
 
 
+def _kept(out: Column, one: Column, m: Column, valid: Callable[[Column], Column] | None) -> Column:
+    more = F.concat(out, F.array(one))
+    return more if valid is None else F.when(valid(m), more).otherwise(out)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -108,8 +117,7 @@ def _candidate(kind: str, base: bool, text: Column, x: Column) -> Column:
 
 
 def _voted(found: Column, kind: str, base: bool, text: Column) -> Column:
-    kept = F.filter(found, lambda x: _VALID[kind](x["m"])) if base else found
-    return F.transform(kept, lambda x: _candidate(kind, base, text, x))
+    return F.transform(found, lambda x: _candidate(kind, base, text, x))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -119,10 +127,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     none = F.array().cast(_SPANS)
     gates = {"email": F.col("at"), "person": F.lit(True)}
     parts = [("email", EMAIL, True), ("ip", IP, True), ("card", CARD, True), ("phone", PHONE, True), ("secret", SECRET, False), ("phone", NATIONAL, False), ("person", PERSON, False)]
-    for i, (kind, pattern, _) in enumerate(parts):
+    for i, (kind, pattern, base) in enumerate(parts):
         gate = gates.get(kind, F.col("digit"))
         gate = gate & text.rlike("Mr|Ms|Dr|Herr|Frau|Señor|Madame|Monsieur") if kind == "person" else gate & F.contains(text, F.lit("+")) if pattern is PHONE else gate
-        rows = rows.withColumn(f"s{i}", F.when(gate, spans(text, pattern)).otherwise(none))
+        rows = rows.withColumn(f"s{i}", F.when(gate, spans(text, pattern, _VALID[kind] if base else None)).otherwise(none))
     cols = []
     for i, (kind, _, base) in enumerate(parts):
         cols.append(_voted(F.col(f"s{i}"), kind, base, text))
