@@ -10,7 +10,8 @@ Fitting reads at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` other labelled t
 hash, and keeps at most ``MAX_FEATURES`` features; scores are of whole texts.
 
 Defined cases: null text counts as empty; an empty text, or one without known features,
-scores the model's intercept; rows without a label, or with a null one, don't train; without rows of both labels
+scores the model's intercept; rows that repeat a doc_id train once, by the text that
+sorts first; rows without a label, or with a null one, don't train; without rows of both labels
 every score is the share of toxic labels (0 without any); repeated rows and ties are
 scored alike; an empty table gives no rows; further columns are not read.
 """
@@ -158,7 +159,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
         return [], [], 0.0
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     bound = F.when(F.col("toxic") == 1, min(1.0, TRAIN_TOXIC / max(1, n.get(1, 0)))).otherwise(min(1.0, TRAIN_CLEAN / max(1, n.get(0, 0))))
-    rows = marks.where(draw < bound).join(docs.select("doc_id", "text"), "doc_id").select("text", "toxic").toArrow()
+    drawn = marks.where(draw < bound)
+    # Limits make the expected size a sure one: this side is at most TRAIN_TOXIC + TRAIN_CLEAN ids, so texts needn't be shuffled to meet it.
+    picks = [drawn.where(c).orderBy(draw, "doc_id").limit(n) for c, n in ((F.col("toxic") == 1, TRAIN_TOXIC), (F.col("toxic") != 1, TRAIN_CLEAN))]
+    few = F.broadcast(picks[0].unionAll(picks[1]))
+    rows = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
     return [t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist(), n.get(1, 0) / total
 
 
