@@ -94,19 +94,21 @@ def suffix_arrays(text: np.ndarray, start: np.ndarray) -> np.ndarray:
     # Phase 2.  The empty suffix comes first; then every entry places the suffixes whose Lyndon prefix ends where it begins.
     out = np.full(n, -1, np.int64)
     front = np.arange(n)
-    placed = np.zeros(n, bool)
+    open_ = np.ones(n + 1, bool)  # not yet placed; the last entry is for -1, no suffix
+    open_[n] = False
 
     def place_before(s: np.ndarray, low: np.ndarray) -> None:
         j = s - 1
         j = j[j >= low]
+        j = j[open_[j]]
         while len(j):
-            j = j[~placed[j]]
             g = group[j]
-            out[front[g]] = j
-            front[g] += 1
-            placed[j] = True
+            f = front[g]
+            out[f] = j
+            front[g] = f + 1
+            open_[j] = False
             j = before[j]
-            j = j[j >= 0]
+            j = j[open_[j]]
 
     place_before(start + size_of, start)
     live, at = np.arange(len(start)), 0

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .gsaca import suffix_arrays
 from .shared import new_path, table, written
-from .textbytes import mix64, pieces, prefix_hash, span_hash, text_buffer
+from .textbytes import mix64, pieces, prefix_hash, span_hash, text_buffer, window_hash
 
 WIDTH = 50
 GRAM = 26
@@ -46,8 +46,7 @@ def contexts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(buf) - WIDTH + 1
     if n < 1:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    at = np.arange(len(buf) - GRAM + 1)
-    least = span_hash(prefix_hash(buf), at, at + GRAM) | np.uint64(1)
+    least = window_hash(prefix_hash(buf), GRAM) | np.uint64(1)
     for step in (1, 2, 4, 8, 9):  # least of 2, 4, 8, 16 and 25 neighbours
         least = np.minimum(least[:-step], least[step:])
     cut = off[1:-1]
@@ -102,11 +101,17 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.binary(): 'binary'})[f.type]}" for f in schema)
 
 
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
 def _firsts(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each first stands, and its smallest owner."""
-    order = np.lexsort((owners, keys))
-    new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[order][new], order[new], owners[order][new]
+    """Distinct keys, a place where each stands, and its smallest owner."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = _heads(keys)
+    return keys[new], order[new], np.minimum.reduceat(owners[order], new) if len(new) else owners[:0]
 
 
 def _block_contexts(ids: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -179,11 +184,11 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
 
     def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, _, docs_of, _, _ = _block_contexts(*_block_texts(batches))
-        order = np.lexsort((docs_of, keys))
+        order = np.argsort(keys)
         keys, docs_of = keys[order], docs_of[order]
-        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(keys)) - 1
-        many, keys = docs_of[new] != docs_of[last] if len(keys) else np.zeros(0, bool), keys[new]
+        new = _heads(keys)
+        many = np.minimum.reduceat(docs_of, new) != np.maximum.reduceat(docs_of, new) if len(new) else np.zeros(0, bool)
+        keys = keys[new]
         yield _batch([{"bucket": i, "block": key[0].as_py(), **_pack(anchors=keys[part], many=many[part])} for i, part in _dealt(_buckets(keys, buckets), buckets)], _ANCHOR_ROWS)
 
     def share(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,14 +223,17 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
         gram, keys = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("anchors", "keys"))
         owner = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
         block = np.repeat([r["block"] for r in rows], [len(r["keys"]) // 8 for r in rows])
-        order = np.lexsort((owner, keys, gram))
-        g, k = gram[order], keys[order]
-        new = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))
-        one = order[new]
+        order = np.argsort(keys)
+        new = _heads(keys[order])
         least = np.empty(len(order), np.int64)
-        least[order] = owner[one][np.cumsum(new) - 1]
-        string = np.cumsum(np.append(True, gram[one][1:] != gram[one][:-1])) - 1
-        ask = one[np.bincount(string)[string] > 1]
+        least[order] = np.repeat(np.minimum.reduceat(owner[order], new), np.diff(np.append(new, len(order))))
+        # The smallest document of each context stands for it (each block's, if rows repeat its id).  Contexts of an anchor
+        # are compared unless one document is the smallest of all: it can't lose anything, and the others are told.
+        one = np.flatnonzero(least == owner)
+        one = one[np.argsort(gram[one])]
+        new = _heads(gram[one])
+        unlike = np.minimum.reduceat(owner[one], new) != np.maximum.reduceat(owner[one], new)
+        ask = one[np.repeat(unlike, np.diff(np.append(new, len(one))))]
         tell = np.flatnonzero(least < owner)
         every = np.concatenate([tell, ask])
         yield _answers(block[every], keys[every], least[every], np.append(np.zeros(len(tell)), np.full(len(ask), -1)))
@@ -290,8 +298,8 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
         ids, buf, off = _block_texts(left.to_batches())
         _, keys, owner, a, z = _block_contexts(ids, buf, off)
         # The smallest owner of each context: here, or as heard.
-        order = np.argsort(keys, kind="stable")
-        new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        new = _heads(keys[order])
         least = np.empty(len(keys), np.int64)
         if len(keys):
             least[order] = np.repeat(np.minimum.reduceat(owner[order], new), np.diff(np.append(new, len(keys))))
