@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -188,26 +189,46 @@ def test_suffix_arrays():
         assert gsaca.suffix_arrays(np.array([c for s in strings for c in s], dtype=np.int64), start).tolist() == want
 
 
-def test_substring_dedup(docs, none, rows):
-    got = {r["doc_id"]: r for r in substring_dedup.trimmed(docs, 200_000).collect()}
-    first = {}
-    for r in sorted(rows, key=lambda r: r[0]):
-        b = (r[1] or "").encode()
+def trimmed_by_force(rows):
+    """Sorted rows of trimmed(); a null id counts as smaller than any other."""
+    rows = sorted((-1 if r[0] is None else r[0], (r[1] or "").encode()) for r in rows)
+    first, out = {}, []
+    for i, b in rows:
         for p in range(len(b) - 49):
-            first.setdefault(b[p : p + 50], r[0])
-    for r in rows:
-        b = (r[1] or "").encode()
+            first.setdefault(b[p : p + 50], i)
+    for i, b in rows:
         gone = bytearray(len(b))
         for p in range(len(b) - 49):
-            if first[b[p : p + 50]] < r[0]:
+            if first[b[p : p + 50]] < i:
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
         spans = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
-        x = got[r[0]]
-        assert (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def trimmed_rows(df, block_bytes):
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.trimmed(df, block_bytes).collect())
+
+
+def test_substring_dedup(docs, none, rows):
+    assert trimmed_rows(docs, 200_000) == trimmed_by_force(rows)
     assert substring_dedup.trimmed(none).count() == 0
 
 
+def test_substring_dedup_of_repeated_and_null_ids(spark):
+    draw = random.Random(3)
+    passages = ["".join(draw.choices("abcdefgh", k=90)) for _ in range(12)]
+    rows = []
+    for i in range(200):
+        text = "".join(draw.choices("xyzuvw", k=30))
+        for _ in range(3):
+            a = draw.randrange(25)
+            text += draw.choice(passages)[a : a + draw.randrange(40, 66)] + draw.choice("0123456789")
+        rows.append((None if i % 41 == 0 else i // 3, text))
+    assert trimmed_rows(spark.createDataFrame(rows, "doc_id long, text string"), 2000) == trimmed_by_force(rows)
+
+
 def luhn(s):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(s))) % 10 == 0
 
