@@ -157,7 +157,7 @@ def knn_join(spark, sf):
 
 @query(f"with t as (select * from {_T} where uri % 16 = 0) select l.uri as l_uri, r.uri as r_uri from t l join t r on l.uri < r.uri and l.t_begin <= r.t_end and l.t_end >= r.t_begin")
 def interval_join(spark, sf):
-    t = v.intervals(spark, sf).where("uri % 16 = 0")
+    t = v.intervals(spark, sf)
     return spatial_join.interval_join(t, t, 30 * 86400.0).where("l_uri < r_uri").select("l_uri", "r_uri")
 
 
