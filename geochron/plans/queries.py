@@ -183,7 +183,7 @@ def outer_default(spark, sf):
 @query(f"""with i as (select * from {_T} where t_end is not null), a as (select event_id as id, {v.OTHER['events']} - 800000000 as t from events where event_id % 8 = 0),
 e as (select t_end, min(uri) as uri from i group by t_end) select a.id, e.uri, e.t_end from a asof join e on a.t >= e.t_end""")
 def asof_previous_end(spark, sf):
-    a = spark.sql("select event_id as id, unix_micros(cast(ts as timestamp))/cast(1e6 as double) - 800000000 as t from {e} where event_id % 8 = 0", e=spark.read.parquet(f"{sf}/events.parquet"))
+    a = spark.sql("select event_id as id, unix_micros(cast(ts as timestamp))/cast(1e6 as double) - 800000000 as t from {e}", e=spark.read.parquet(f"{sf}/events.parquet"))
     return timeindex.previous_end_join(a, v.intervals(spark, sf))
 
 
