@@ -1,10 +1,9 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is the weighted set of its shingles of five words (fewer, if it has fewer),
-weight = occurrences * idf.  Idf is ln(1 + N / max(df, N / RARE)): a shingle counts in
-full unless over one document in RARE holds it, so the exact document frequencies needed are those
-of at most RARE * (mean shingles of a document) shingles however large the table is.  They are found with a
-sketch of fixed size and then counted exactly.
+weight = occurrences * idf.  Idf is ln(1 + N / df), with the exact document frequency of every shingle: the texts are
+dealt to pieces, a piece sends its distinct shingles to the segments of the hash range, and a segment adds up the counts of
+its shingles and answers each piece.  No table of all shingles is held or sent to all.
 
 Each of BANDS * ROWS hash functions draws one consistent weighted sample of the set (Ioffe 2010);
 the samples of a band together are a bucket.  Texts with equal weighted sets are one vertex.
@@ -37,12 +36,14 @@ from .textbytes import mix64, pieces, row_sums, text_buffer, word_hashes
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998, at 0.85 with 0.9999.
 BANDS, ROWS = 12, 4
+#: Idf has no bound; the tests' formula reads this, and tables of fewer documents don't reach it.
 RARE = 256
+#: Bytes of text in a piece, and those whose shingles share a segment.
+PIECE, SEGMENT = 1 << 21, 1 << 24
 #: Of BANDS * ROWS = 48 samples, compared by 4 bits each: at similarity 0.8 on average 39 agree, with a deviation of 2.7.
 AGREE = 30
 #: Buckets with more pairs to compare than this are compared block by block.
 PAIRS, BLOCK = 2048, 192
-_CELL_BITS, _SLICE_BITS = 20, 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,66 +82,75 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch, lo, hi, *weighted_sets(b, o)
 
 
-class Idf:
-    """Idf of shingles: exact for the frequent ones it holds, the highest for the others."""
+def in_pieces(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """doc_id, text and piece (about PIECE bytes of text, by a hash of the row); how many documents; bits of a segment's number."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    size = size or 0
+    piece = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // PIECE))
+    bits = min(20, max(6, (size // SEGMENT).bit_length()))
+    return docs.select("doc_id", "text", piece.alias("piece")), n, bits
 
-    def __init__(self, docs: int, keys: np.ndarray, df: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.top = keys[order], float(np.log1p(RARE))
-        self.idf = np.log1p(docs / df[order])
-        self.seen = np.zeros(1 << _CELL_BITS, bool)
-        self.seen[keys >> np.uint64(54 - _CELL_BITS)] = True
 
-    def weights(self, shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
-        idf = np.full(len(shingles), self.top)
-        if len(self.keys):
-            hit = np.flatnonzero(self.seen[shingles >> np.uint64(54 - _CELL_BITS)])
-            at = np.minimum(np.searchsorted(self.keys, shingles[hit]), len(self.keys) - 1)
-            ok = self.keys[at] == shingles[hit]
-            idf[hit[ok]] = self.idf[at[ok]]
-        return idf * times
+def _sets_of(table: pa.Table | pa.RecordBatch) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Parts of a piece as _sets gives them, the piece's distinct shingles in order, and in how many rows each stands."""
+    batch = table if isinstance(table, pa.RecordBatch) else pa.RecordBatch.from_arrays([_one(table[c]) for c in ("doc_id", "text")], ["doc_id", "text"])
+    parts = list(_sets([batch]))
+    distinct, times = np.unique(np.concatenate([p[3] for p in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
+    return parts, distinct, times
 
 
-def document_frequencies(docs: DataFrame) -> Idf:
-    """Counts document frequencies of shingles in a sketch of 2 ** 20 cells, then exactly those in cells that reach N / RARE."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    n = docs.count()
-    least = max(1, n / RARE)
-    width = 1 << _SLICE_BITS
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << _CELL_BITS, np.int64)
-        for *_, shingles, _, _ in _sets(batches):
-            cells += np.bincount((shingles >> np.uint64(54 - _CELL_BITS)).astype(np.int64), minlength=len(cells))
-        cells = cells.reshape(-1, width)
-        some = np.flatnonzero(cells.any(axis=1))
-        kind = [c.astype(np.uint8 if c.max() < 256 else np.int64).tobytes() for c in cells[some]]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(kind, pa.binary())], ["slice", "counts"])
-
-    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        for b in batches:
-            for c in b["counts"].to_pylist():
-                total += np.frombuffer(c, np.uint8 if len(c) == width else np.int64)
-        heavy = np.flatnonzero(total > least).astype(np.int64) + key[0].as_py() * width
-        yield pa.RecordBatch.from_arrays([pa.array(heavy)], ["cell"])
-
-    cells = texts.mapInArrow(sketch, "slice int, counts binary").groupBy("slice").applyInArrow(added, "cell long").toArrow()["cell"].to_numpy()
-    heavy = np.zeros(1 << _CELL_BITS, bool)
-    heavy[cells] = True
-    mask = spark.sparkContext.broadcast(np.packbits(heavy).tobytes())  # 128 KB
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = np.unpackbits(np.frombuffer(mask.value, np.uint8)).astype(bool)
-        for *_, shingles, _, _ in _sets(batches):
-            key, df = np.unique(shingles[heavy[shingles >> np.uint64(54 - _CELL_BITS)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(df)], ["shingle", "df"])
-
-    if not len(cells):
-        return Idf(n, np.zeros(0, np.uint64), np.zeros(0))
-    exact = texts.mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > least).toArrow()
-    return Idf(n, exact["shingle"].to_numpy().astype(np.uint64), exact["df"].to_numpy().astype(float))
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _counts(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts in a byte each; those of 255 or more apart."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()
+
+
+def _counted(small: bytes, big: bytes) -> np.ndarray:
+    n = np.frombuffer(small, np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(big, np.int64)
+    return n
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """piece, segment, small, big: document frequencies of the distinct shingles of each piece, in order."""
+    rows, _, bits = in_pieces(docs)
+    return _frequencies(rows, bits)
+
+
+def _frequencies(rows: DataFrame, bits: int) -> DataFrame:
+    """A piece sends the shingles of each segment (the highest bits of a shingle) with its own counts; the segment sends back the sums."""
+    shift = np.uint64(54 - bits)
+
+    def ask(table: pa.Table) -> pa.Table:
+        _, distinct, times = _sets_of(table)
+        piece = table["piece"][0].as_py()
+        at = np.searchsorted(distinct >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
+        out = {c: [] for c in ("piece", "segment", "keys", "small", "big")}
+        for s in np.flatnonzero(at[1:] > at[:-1]).tolist():
+            lo, hi = at[s], at[s + 1]
+            low = np.ascontiguousarray(distinct[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]  # at most 48 bits are left
+            for c, x in zip(out, (piece, s, low.tobytes(), *_counts(times[lo:hi]))):
+                out[c].append(x)
+        return pa.table(out, _ASKED)
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint8).reshape(-1, 6) for k in table["keys"].to_pylist()]
+        wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
+        wide[:, :6] = np.concatenate(keys)
+        _, which = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        times = np.concatenate([_counted(*x) for x in zip(table["small"].to_pylist(), table["big"].to_pylist())])
+        total = np.bincount(which, weights=times).astype(np.int64)[which]
+        packed = [_counts(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"piece": table["piece"], "segment": table["segment"], "small": pa.array([a for a, _ in packed], pa.binary()), "big": pa.array([b for _, b in packed], pa.binary())})
+
+    asked = rows.groupBy("piece").applyInArrow(ask, "piece long, segment long, keys binary, small binary, big binary")
+    return asked.groupBy("segment").applyInArrow(answer, "piece long, segment long, small binary, big binary")
+
+
+_ASKED = pa.schema([("piece", pa.int64()), ("segment", pa.int64()), ("keys", pa.binary()), ("small", pa.binary()), ("big", pa.binary())])
 
 
 _tables: list[np.ndarray] = []
@@ -209,44 +219,41 @@ def agreeing(a: list[Column], b: list[Column]) -> Column:
     return F.lit(BANDS * ROWS) - different
 
 
-def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
-    """doc_id, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, sketch."""
-    held = docs.sparkSession.sparkContext.broadcast(idf)  # at most RARE * mean shingles entries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, shingles, times, at in _sets(batches):
-            w = held.value.weights(shingles, times)
+def weighted(docs: DataFrame) -> DataFrame:
+    """doc_id, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, sketch, and the
+    set as bytes: keys, 4 a shingle, and weights, 4 a shingle unless all weigh the same."""
+    rows, n, bits = in_pieces(docs)
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        parts, distinct, _ = _sets_of(table)
+        answers = sorted(zip(found["segment"].to_pylist(), found["small"].to_pylist(), found["big"].to_pylist()))
+        df = np.concatenate([_counted(a, b) for _, a, b in answers] or [np.zeros(0, np.int64)])
+        if len(df) != len(distinct):
+            raise ValueError(f"{len(df)} document frequencies for {len(distinct)} shingles")
+        idf = np.log1p(n / df)
+        out = []
+        for batch, lo, hi, shingles, times, at in parts:
+            w = idf[np.searchsorted(distinct, shingles)] * times
             h = mix64(shingles * _STEP + times.astype(np.uint64))
             a, b = row_sums(h, at), row_sums(mix64(h), at)
             drawn = samples(shingles, w, at)
             s, k = buckets_of(drawn), sketch_of(drawn)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(row_sums(w, at)), _lists(s), _lists(k)],
-                ["doc_id", "digest_a", "digest_b", "weight", "buckets", "sketch"],
-            )
+            total, w = row_sums(w, at), w.astype(np.float32)
+            short = (shingles >> np.uint64(22)).astype(np.uint32)
+            keys = [short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+            vals = [(w[i : i + 1] if j > i and (w[i:j] == w[i]).all() else w[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
+            cols = [batch["doc_id"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), _lists(k), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "digest_a", "digest_b", "weight", "buckets", "sketch", "keys", "weights"]))
+        return pa.Table.from_batches(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest_a long, digest_b long, weight double, buckets array<long>, sketch array<long>")
+    kinds = "doc_id long, digest_a long, digest_b long, weight double, buckets array<long>, sketch array<long>, keys binary, weights binary"
+    return rows.groupBy("piece").cogroup(_frequencies(rows, bits).groupBy("piece")).applyInArrow(run, kinds)
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
 
 
-def vectors(docs: DataFrame, idf: Idf) -> DataFrame:
-    """v, keys and weights: each document's set as bytes, 4 a shingle and 4 a weight unless all weigh the same."""
-    held = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, shingles, times, at in _sets(batches):
-            w = held.value.weights(shingles, times).astype(np.float32)
-            short = (shingles >> np.uint64(22)).astype(np.uint32)
-            keys = [short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            vals = [(w[a : a + 1] if b > a and (w[a:b] == w[a]).all() else w[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(keys, pa.large_binary()).cast(pa.binary()), pa.array(vals, pa.binary())], ["v", "keys", "weights"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "v long, keys binary, weights binary")
-
-
 def _similarity(ka: bytes, wa: bytes, kb: bytes, wb: bytes) -> float:
     a, b = np.frombuffer(ka, np.uint32), np.frombuffer(kb, np.uint32)
     x = np.broadcast_to(np.frombuffer(wa, np.float32), a.shape) if len(wa) == 4 else np.frombuffer(wa, np.float32)
@@ -362,8 +369,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, vertex_id (the smallest doc_id of those with the same weighted set), class_size."""
     spark = docs.sparkSession
-    idf = document_frequencies(docs)
-    sig = written(signatures(docs, idf), "near-signatures")
+    sets = written(weighted(docs), "near-sets")
+    sig = sets.drop("keys", "weights")
     reps = written(sig.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("v")), "near-vertices")
     member = sig.join(reps, ["digest_a", "digest_b"])
     vertex = member.where(F.col("doc_id") == F.col("v")).select("v", "weight", "buckets", "sketch").dropDuplicates(["v"])
@@ -375,7 +382,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = written(bucket.join(heads, ["band", "h"]).where("v <> p").select("band", "h", "v", "weight", "p", "pw", near(F.col("weight"), F.col("pw")).alias("fits")), "near-shared")
     pairs = written(shared.where("fits").select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
     ends = pairs.select("a").union(pairs.select("b")).union(shared.select("v")).distinct().toDF("doc_id")
-    vecs = written(vectors(docs.select("doc_id", "text").join(written(ends, "near-ends"), "doc_id", "left_semi"), idf).dropDuplicates(["v"]), "near-vectors")
+    vecs = sets.select("doc_id", "keys", "weights").join(written(ends, "near-ends"), "doc_id", "left_semi").toDF("v", "keys", "weights")
+    vecs = written(vecs.dropDuplicates(["v"]), "near-vectors")
     sims = written(similarities(pairs, vecs), "near-similarities")
     edges = sims.where(F.col("sim") >= SIMILARITY).select("a", "b")
     comp = components(spark, edges)
