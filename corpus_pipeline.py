@@ -1,4 +1,4 @@
-"""A corpus pipeline: documents in, what is left of them tokenised, in the order of the mix.
+"""A corpus pipeline: documents in, what is left of them tokenised, each with its place in the mix.
 
 Every stage works on all that the one before kept and is written as Parquet before the next reads it.
 """
@@ -6,6 +6,7 @@ Every stage works on all that the one before kept and is written as Parquet befo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geochron.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from geochron.llm.shared import new_path, table
@@ -27,12 +28,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document; the files hold them in the order in which a reader meets the target weights."""
+    """Keeps every document; the files hold them in the order in which a reader meets the target weights.  A reader of many files loses the order."""
     return mixing.interleaved(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs)
+    """Each document's tokens and its place in the mix: source, slot, position, and in_mix (before the first source runs out)."""
+    placed = mixing.mixed(docs).select("doc_id", "text", F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"), F.col("_in_mix").alias("in_mix"))
+    return bpe.encoded(placed, more=("source", "slot", "position", "in_mix"))
 
 
 STAGES = [("language_id", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mix), ("bpe", tokens)]

@@ -275,7 +275,7 @@ class _Growing:
 _loaded: dict[str, BPE] = {}
 
 
-def _rows(batches: Iterator[pa.RecordBatch], spec: str, path: str | None) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], spec: str, path: str | None, more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     if spec not in _loaded:
         _loaded[spec] = BPE(path or _path_of(spec))
     bpe = _loaded[spec]
@@ -290,7 +290,8 @@ def _rows(batches: Iterator[pa.RecordBatch], spec: str, path: str | None) -> Ite
                 a, b = at[i], at[i + 1]
                 ids_sha.append(hashlib.sha256(shown[shown_at[a] : max(shown_at[a], shown_at[b] - 1)].tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(back[back_at[a] : back_at[b]].tobytes().decode("utf-8", errors="replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [part["doc_id"], pa.array(n), pa.array(ids_sha), pa.array(text_sha), *[part[c] for c in more]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more])
 
 
 def _path_of(name: str) -> str:
@@ -299,10 +300,11 @@ def _path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, name: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document.  name: of a public tokenizer; path: of another file, on every machine."""
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(lambda batches: _rows(batches, path or name, path), _SCHEMA)
+def encoded(docs: DataFrame, name: str = "byte_bpe_50k.json", path: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, and its columns named in more.  name: of a public tokenizer; path: of another file, on every machine."""
+    rows = docs.select("doc_id", "text", *more)
+    schema = ", ".join([_SCHEMA, *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]])
+    return rows.mapInArrow(lambda batches: _rows(batches, path or name, path, more), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
