@@ -10,8 +10,7 @@ the samples of a band together are a bucket.  Texts with equal weighted sets are
 Of every bucket all members are compared with its smallest vertex; a pair is a link if its exact weighted
 Jaccard similarity is at least 0.8.  Links give components; then members of a bucket that
 weren't linked to its smallest vertex are compared with the bucket's members in other components, but for pairs that can't
-be links: by the triangle inequality of the Jaccard distance with the smallest vertex between them, or because fewer than
-AGREE of their samples agree (which a link of similarity 0.8 does with probability 0.0005).  A bucket with many members to compare
+be links by their weights or by the triangle inequality of the Jaccard distance with the smallest vertex between them.  A bucket with many members to compare
 is cut into blocks of about BLOCK members; a task compares two blocks by matrix products, without a row for each pair, and
 returns only links that join components.  Classes are the components.
 
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -40,8 +39,6 @@ BANDS, ROWS = 12, 4
 RARE = 256
 #: Bytes of text in a piece, and those whose shingles share a segment.
 PIECE, SEGMENT = 1 << 21, 1 << 24
-#: Of BANDS * ROWS = 48 samples, compared by 4 bits each: at similarity 0.8 on average 39 agree, with a deviation of 2.7.
-AGREE = 30
 #: Buckets with more pairs to compare than this are compared block by block.
 PAIRS, BLOCK = 2048, 192
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -202,25 +199,8 @@ def buckets_of(sample: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch_of(sample: np.ndarray) -> np.ndarray:
-    """The low 4 bits of each sample, 16 to an int64: rows x 3."""
-    nibble = (sample & np.uint64(15)).reshape(len(sample), -1, 16)
-    return (nibble << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
-
-
-def agreeing(a: list[Column], b: list[Column]) -> Column:
-    """How many samples of two sketches agree."""
-    different = F.lit(0)
-    for x, y in zip(a, b):
-        d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        different = different + F.bit_count(d)
-    return F.lit(BANDS * ROWS) - different
-
-
 def weighted(docs: DataFrame) -> DataFrame:
-    """doc_id, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, sketch, and the
+    """doc_id, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, and the
     set as bytes: keys, 4 a shingle, and weights, 4 a shingle unless all weigh the same."""
     rows, n, bits = in_pieces(docs)
 
@@ -236,17 +216,16 @@ def weighted(docs: DataFrame) -> DataFrame:
             w = idf[np.searchsorted(distinct, shingles)] * times
             h = mix64(shingles * _STEP + times.astype(np.uint64))
             a, b = row_sums(h, at), row_sums(mix64(h), at)
-            drawn = samples(shingles, w, at)
-            s, k = buckets_of(drawn), sketch_of(drawn)
+            s = buckets_of(samples(shingles, w, at))
             total, w = row_sums(w, at), w.astype(np.float32)
             short = (shingles >> np.uint64(22)).astype(np.uint32)
             keys = [short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
             vals = [(w[i : i + 1] if j > i and (w[i:j] == w[i]).all() else w[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
-            cols = [batch["doc_id"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), _lists(k), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "digest_a", "digest_b", "weight", "buckets", "sketch", "keys", "weights"]))
+            cols = [batch["doc_id"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "digest_a", "digest_b", "weight", "buckets", "keys", "weights"]))
         return pa.Table.from_batches(out)
 
-    kinds = "doc_id long, digest_a long, digest_b long, weight double, buckets array<long>, sketch array<long>, keys binary, weights binary"
+    kinds = "doc_id long, digest_a long, digest_b long, weight double, buckets array<long>, keys binary, weights binary"
     return rows.groupBy("piece").cogroup(_frequencies(rows, bits).groupBy("piece")).applyInArrow(run, kinds)
 
 
@@ -373,7 +352,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     sig = sets.drop("keys", "weights")
     reps = written(sig.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("v")), "near-vertices")
     member = sig.join(reps, ["digest_a", "digest_b"])
-    vertex = member.where(F.col("doc_id") == F.col("v")).select("v", "weight", "buckets", "sketch").dropDuplicates(["v"])
+    vertex = member.where(F.col("doc_id") == F.col("v")).select("v", "weight", "buckets").dropDuplicates(["v"])
     bucket = written(vertex.select("v", "weight", F.posexplode("buckets").alias("band", "h")), "near-buckets")
     heads = bucket.groupBy("band", "h").agg(F.min(F.struct("v", "weight")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = written(heads.select("band", "h", F.col("p.v").alias("p"), F.col("p.weight").alias("pw")), "near-heads")
@@ -392,9 +371,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = shared.join(sims.toDF("p", "v", "sim"), ["p", "v"], "left")
     ratio = F.least("weight", "pw") / F.greatest("weight", "pw")
     low, high = F.coalesce(1 - F.col("sim"), 1 - ratio), F.coalesce(1 - F.col("sim"), F.lit(1.0))
-    marks = vertex.select("v", "buckets", *[F.get("sketch", F.lit(i)).alias(f"k{i}") for i in range(3)])
-    state = shared.withColumns({"low": low, "high": high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(marks, "v")
-    state = written(state.select("band", "h", "v", "weight", "c", "low", "high", "buckets", "k0", "k1", "k2", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")), "near-state")
+    state = shared.withColumns({"low": low, "high": high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(vertex.select("v", "buckets"), "v")
+    state = written(state.select("band", "h", "v", "weight", "c", "low", "high", "buckets", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")), "near-state")
     size = state.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("r")).where("r > 0")
     state = state.join(written(size, "near-open"), ["band", "h"])
     large = state.where(F.col("n") * F.col("r") > PAIRS).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("v"), "blocks"))
@@ -408,8 +386,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     u = lambda c: F.col("u_" + c)
     apart = F.greatest(F.col("low") - u("high"), u("low") - F.col("high"))
     earlier = F.exists(F.slice(F.zip_with("buckets", "u_buckets", lambda x, y: x == y), F.lit(1), F.col("band")), lambda x: x)
-    alike = agreeing([F.col(f"k{i}") for i in range(3)], [u(f"k{i}") for i in range(3)]) >= AGREE
-    worth = (F.col("c") != u("c")) & (u("linked") | (F.col("v") < u("v"))) & near(F.col("weight"), u("weight")) & (apart <= 1.001 * (1 - SIMILARITY)) & alike & ~earlier
+    worth = (F.col("c") != u("c")) & (u("linked") | (F.col("v") < u("v"))) & near(F.col("weight"), u("weight")) & (apart <= 1.001 * (1 - SIMILARITY)) & ~earlier
     more = rest.join(others.withColumnsRenamed({"band": "u_band", "h": "u_h"}), (F.col("band") == F.col("u_band")) & (F.col("h") == F.col("u_h")) & worth)
     more = written(more.select(F.least("v", "u_v").alias("a"), F.greatest("v", "u_v").alias("b")).distinct(), "near-pairs")
     found = similarities(more, vecs).where(F.col("sim") >= SIMILARITY).select("a", "b")
