@@ -6,17 +6,20 @@ dealt to pieces, a piece sends its distinct shingles to the segments of the hash
 its shingles and answers each piece.  No table of all shingles is held or sent to all.
 
 Each of BANDS * ROWS hash functions draws one consistent weighted sample of the set (Ioffe 2010);
-the samples of a band together are a bucket.  Texts with equal weighted sets are one vertex.
+the samples of a band together are a bucket.  Texts with equal weighted sets are one vertex,
+known by a hash of the set, so repeated or null doc_ids don't merge different texts.
 Of every bucket all members are compared with its smallest vertex; a pair is a link if its exact weighted
 Jaccard similarity is at least 0.8.  Links give components; then members of a bucket that
 weren't linked to its smallest vertex are compared with the bucket's members in other components, but for pairs that can't
-be links by their weights or by the triangle inequality of the Jaccard distance with the smallest vertex between them.  A bucket with many members to compare
+be links by their weights or by the triangle inequality of the Jaccard distance with the smallest vertex between them.
+A bucket with many members to compare
 is cut into blocks of about BLOCK members; a task compares two blocks by matrix products, without a row for each pair, and
 returns only links that join components.  Classes are the components.
 
 Defined cases: null text counts as empty; texts without words have one weighted set,
 the empty one, and are copies of each other; repeated rows are copies; class_id is the
-smallest doc_id of the class (null doc_ids are smaller than any and class_id is then null);
+smallest doc_id of the class (null doc_ids are smaller than any and class_id is then null), so classes that share
+a smallest doc_id share a class_id, but have a class_size each;
 an empty table gives no rows; further columns are not read.
 """
 
@@ -80,17 +83,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def in_pieces(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """doc_id, text and piece (about PIECE bytes of text, by a hash of the row); how many documents; bits of a segment's number."""
+    """doc_id, text, mark (a hash of the text) and piece (about PIECE bytes of text, by a hash of the row); how many documents; bits of a segment's number."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     size = size or 0
     piece = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // PIECE))
     bits = min(20, max(6, (size // SEGMENT).bit_length()))
-    return docs.select("doc_id", "text", piece.alias("piece")), n, bits
+    return docs.select("doc_id", "text", piece.alias("piece"), F.xxhash64("text").alias("mark")), n, bits
 
 
 def _sets_of(table: pa.Table | pa.RecordBatch) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """Parts of a piece as _sets gives them, the piece's distinct shingles in order, and in how many rows each stands."""
-    batch = table if isinstance(table, pa.RecordBatch) else pa.RecordBatch.from_arrays([_one(table[c]) for c in ("doc_id", "text")], ["doc_id", "text"])
+    batch = table if isinstance(table, pa.RecordBatch) else pa.RecordBatch.from_arrays([_one(table[c]) for c in ("doc_id", "text", "mark")], ["doc_id", "text", "mark"])
     parts = list(_sets([batch]))
     distinct, times = np.unique(np.concatenate([p[3] for p in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
     return parts, distinct, times
@@ -200,7 +203,7 @@ def buckets_of(sample: np.ndarray) -> np.ndarray:
 
 
 def weighted(docs: DataFrame) -> DataFrame:
-    """doc_id, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, and the
+    """doc_id, mark, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, and the
     set as bytes: keys, 4 a shingle, and weights, 4 a shingle unless all weigh the same."""
     rows, n, bits = in_pieces(docs)
 
@@ -221,11 +224,11 @@ def weighted(docs: DataFrame) -> DataFrame:
             short = (shingles >> np.uint64(22)).astype(np.uint32)
             keys = [short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
             vals = [(w[i : i + 1] if j > i and (w[i:j] == w[i]).all() else w[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
-            cols = [batch["doc_id"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "digest_a", "digest_b", "weight", "buckets", "keys", "weights"]))
+            cols = [batch["doc_id"].slice(lo, hi - lo), batch["mark"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "digest_a", "digest_b", "weight", "buckets", "keys", "weights"]))
         return pa.Table.from_batches(out)
 
-    kinds = "doc_id long, digest_a long, digest_b long, weight double, buckets array<long>, keys binary, weights binary"
+    kinds = "doc_id long, mark long, digest_a long, digest_b long, weight double, buckets array<long>, keys binary, weights binary"
     return rows.groupBy("piece").cogroup(_frequencies(rows, bits).groupBy("piece")).applyInArrow(run, kinds)
 
 
@@ -345,14 +348,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         label = nxt.select("v", "c")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, vertex_id (the smallest doc_id of those with the same weighted set), class_size."""
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, v and c of each row: hashes of its text and weighted set, and its class."""
     spark = docs.sparkSession
-    sets = written(weighted(docs), "near-sets")
-    sig = sets.drop("keys", "weights")
-    reps = written(sig.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("v")), "near-vertices")
-    member = sig.join(reps, ["digest_a", "digest_b"])
-    vertex = member.where(F.col("doc_id") == F.col("v")).select("v", "weight", "buckets").dropDuplicates(["v"])
+    sets = written(weighted(docs).withColumn("v", F.xxhash64("digest_a", "digest_b")), "near-sets")
+    vertex = sets.select("v", "weight", "buckets").dropDuplicates(["v"])
     bucket = written(vertex.select("v", "weight", F.posexplode("buckets").alias("band", "h")), "near-buckets")
     heads = bucket.groupBy("band", "h").agg(F.min(F.struct("v", "weight")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = written(heads.select("band", "h", F.col("p.v").alias("p"), F.col("p.weight").alias("pw")), "near-heads")
@@ -360,8 +360,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     near = lambda x, y: F.least(x, y) >= SIMILARITY * 0.999 * F.greatest(x, y)
     shared = written(bucket.join(heads, ["band", "h"]).where("v <> p").select("band", "h", "v", "weight", "p", "pw", near(F.col("weight"), F.col("pw")).alias("fits")), "near-shared")
     pairs = written(shared.where("fits").select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
-    ends = pairs.select("a").union(pairs.select("b")).union(shared.select("v")).distinct().toDF("doc_id")
-    vecs = sets.select("doc_id", "keys", "weights").join(written(ends, "near-ends"), "doc_id", "left_semi").toDF("v", "keys", "weights")
+    ends = pairs.select("a").union(pairs.select("b")).union(shared.select("v")).distinct().toDF("v")
+    vecs = sets.select("v", "keys", "weights").join(written(ends, "near-ends"), "v", "left_semi")
     vecs = written(vecs.dropDuplicates(["v"]), "near-vectors")
     sims = written(similarities(pairs, vecs), "near-similarities")
     edges = sims.where(F.col("sim") >= SIMILARITY).select("a", "b")
@@ -391,10 +391,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     more = written(more.select(F.least("v", "u_v").alias("a"), F.greatest("v", "u_v").alias("b")).distinct(), "near-pairs")
     found = similarities(more, vecs).where(F.col("sim") >= SIMILARITY).select("a", "b")
     comp = written(components(spark, edges.union(found).union(joined)), "near-components")
-    classes = member.select("doc_id", "v").join(comp, "v", "left").select("doc_id", F.col("v").alias("vertex_id"), F.coalesce("c", "v").alias("class_id"))
-    classes = written(classes, "near-classes")
-    sizes = written(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "near-sizes")
-    return classes.join(sizes, "class_id").select("doc_id", "class_id", "vertex_id", "class_size")
+    return written(sets.select("doc_id", "mark", "v").join(comp, "v", "left").select("doc_id", "mark", "v", F.coalesce("c", "v").alias("c")), "near-classes")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, vertex_id (the smallest doc_id of those with the same weighted set), class_size."""
+    members = _members(docs)
+    least = F.min(F.struct("doc_id"))["doc_id"]  # of structs, as min() leaves out nulls
+    vertices = written(members.groupBy("v", "c").agg(least.alias("doc_id"), F.count(F.lit(1)).alias("n")), "near-vertices")
+    classes = written(vertices.groupBy("c").agg(least.alias("class_id"), F.sum("n").alias("class_size")), "near-sizes")
+    named = members.join(vertices.select("v", F.col("doc_id").alias("vertex_id")), "v").join(classes, "c")
+    return named.select("doc_id", "class_id", "vertex_id", "class_size")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,6 +409,9 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with all its columns."""
-    drop = near_classes(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """One document of each class, the one with the smallest doc_id (null first, then by the text's hash), with all its columns and repeats."""
+    row = F.struct("doc_id", "mark")
+    members = _members(docs)
+    kept = written(members.groupBy("c").agg(F.min(row).alias("kept")), "near-kept")
+    drop = members.join(kept, "c").where(row != F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti").select(docs.columns)
