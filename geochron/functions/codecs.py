@@ -112,6 +112,23 @@ def shape_wkt(shape: Column) -> Column:
     )
 
 
+_MULTI = {"point": "MULTIPOINT", "linestring": "MULTILINESTRING", "polygon": "MULTIPOLYGON"}
+
+
+def shapes_wkt(shapes: Column) -> Column:
+    """WKT of several shapes: a multi-geometry if all are of one kind, else a collection; EMPTY without any.  Of one shape too.
+
+    Null if a shape has no WKT.  Tags of three dimensions stand on points only, as in ``shape_wkt``.
+    """
+    kind = lambda s: F.when(s["kind"] == "box", "polygon").otherwise(s["kind"])
+    kinds = F.array_distinct(F.transform(shapes, kind))
+    texts = _all_or_none(F.transform(shapes, shape_wkt))
+    bodies = F.array_join(F.transform(texts, lambda t: F.regexp_replace(t, r"^[A-Z]+( Z )?", "")), ",")
+    many = F.element_at(F.create_map(*[F.lit(x) for pair in _MULTI.items() for x in pair]), kinds[0])
+    some = F.when(F.size(kinds) == 1, F.concat(many, F.lit("("), bodies, F.lit(")"))).otherwise(F.concat(F.lit("GEOMETRYCOLLECTION("), F.array_join(texts, ","), F.lit(")")))
+    return F.when(F.size(shapes) == 0, "GEOMETRYCOLLECTION EMPTY").when(texts.isNotNull(), some)
+
+
 # GML
 
 
@@ -124,7 +141,10 @@ def _xml_all(xml: Column, pattern: str) -> Column:
 
 
 def gml_shape(gml: Column) -> Column:
-    """Point/pos, LineString/posList, Polygon with exterior and interiors, and Envelope; any prefix; null for anything else."""
+    """Point/pos, LineString/posList, Polygon with exterior and interiors, and Envelope; any prefix; null for anything else.
+
+    A posList is read in pairs, whatever srsDimension says: so does the data model that this follows.
+    """
     has = lambda tag: gml.rlike(rf"<(?:\w+:)?{tag}\b")
     point = let(_numbers(_xml_text(gml, "pos")), lambda p: F.when(F.size(p).between(2, 4), make("point", F.array(F.array(xyz(p[0], p[1], F.get(p, F.lit(2))))), F.when(F.size(p) > 2, 3).otherwise(2)).cast(SHAPE_T)))
     line = let(_points(_numbers(_xml_text(gml, "posList")), 2), lambda p: F.when(p.isNotNull(), make("linestring", F.array(p)).cast(SHAPE_T)))
@@ -166,40 +186,50 @@ def _kml_points(text: Column) -> Column:
 
 
 _COORDINATES = r"<(?:\w+:)?coordinates[^>]*>([^<]*)</"
+_GEOMETRY = r"(?s)<(?:\w+:)?(Point|LineString|LinearRing|Polygon)\b.*?</(?:\w+:)?\1\s*>"
+_TAG = r"^<(?:\w+:)?\w+([^>]*)>"
+_GEOMETRY_T = f"struct<uri:string,shape:{SHAPE_T},attributes:map<string,string>,content:string>"
 
 
-def kml_shapes(kml: Column) -> Column:
-    """Shapes of the geometry elements anywhere in the text, in kinds' order: points, lines, rings (as linestrings), polygons."""
-    simple = lambda tag: F.regexp_extract_all(kml, F.lit(rf"(?s)<(?:\w+:)?{tag}\b[^>]*>(?:(?!</(?:\w+:)?{tag}>).)*?{_COORDINATES}"), F.lit(1))
-    rings = F.regexp_extract_all(F.regexp_replace(kml, r"(?s)<(?:\w+:)?Polygon\b.*?</(?:\w+:)?Polygon>", ""), F.lit(rf"(?s)<(?:\w+:)?LinearRing\b[^>]*>.*?{_COORDINATES}"), F.lit(1))
-    areas = F.regexp_extract_all(kml, F.lit(r"(?s)<(?:\w+:)?Polygon\b[^>]*>(.*?)</(?:\w+:)?Polygon>"), F.lit(1))
+def without_comments(xml: Column) -> Column:
+    return F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+
 
-    def area(t: Column) -> Column:
-        side = lambda s: F.regexp_extract_all(t, F.lit(rf"(?s)<(?:\w+:)?{s}>(?:(?!</(?:\w+:)?{s}>).)*?{_COORDINATES}"), F.lit(1))
+def kml_geometries(kml: Column) -> Column:
+    """The geometry elements anywhere in the text, in its order: uri (the element's id), shape, attributes of its tag, and content,
+    the elements in it that don't belong to the shape.  Rings that stand alone are linestrings.  Null if one of them can't be read.
+    """
+
+    def one(t: Column) -> Column:
+        tag = F.regexp_extract(t, _TAG, 1)
+        kind = F.regexp_extract(t, r"^<(?:\w+:)?(\w+)", 1)
+        pairs = F.regexp_extract_all(tag, F.lit(r"""[\w:]+\s*=\s*(?:"[^"]*"|'[^']*')"""), F.lit(0))
+        attributes = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), xml_unescaped(F.regexp_extract(p, r"""=\s*["']([^"']*)""", 1)))))
+        outer = F.regexp_extract_all(t, F.lit(rf"(?s)<(?:\w+:)?outerBoundaryIs>(?:(?!</(?:\w+:)?outerBoundaryIs>).)*?{_COORDINATES}"), F.lit(1))
         inner = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)<(?:\w+:)?innerBoundaryIs>(.*?)</(?:\w+:)?innerBoundaryIs>"), F.lit(1)), lambda u: F.regexp_extract_all(u, F.lit(_COORDINATES), F.lit(1))))
-        all_rings = _all_or_none(F.transform(F.concat(side("outerBoundaryIs"), inner), _kml_points))
-        return F.when(F.size(side("outerBoundaryIs")) == 1, all_rings)
+        texts = F.when(kind != "Polygon", F.regexp_extract_all(t, F.lit(_COORDINATES), F.lit(1))).when(F.size(outer) == 1, F.concat(outer, inner))
+        rings = let(_all_or_none(F.transform(texts, _kml_points)), lambda r: F.when((F.size(r) > 0) & ((kind == "Polygon") | (F.size(r) == 1)) & ((kind != "Point") | (F.size(r[0]) == 1)), r))
+        name = F.when(kind == "Polygon", "polygon").when(kind == "Point", "point").otherwise("linestring")
+        body = F.regexp_replace(F.regexp_replace(t, r"^<[^>]*>|</[^>]*>$", ""), r"(?s)<(?:\w+:)?(coordinates|outerBoundaryIs|innerBoundaryIs)\b.*?</(?:\w+:)?\1\s*>", "")
+        ident = F.coalesce(attributes["id"], attributes["ID"])
+        return let(rings, lambda r: F.when(r.isNotNull(), F.struct(ident.alias("uri"), make(name, r, _dim(r)).cast(SHAPE_T).alias("shape"), attributes.alias("attributes"), F.nullif(F.trim(body), F.lit("")).alias("content")).cast(_GEOMETRY_T)))
 
-    def one(kind: str, rings: Column) -> Column:
-        return let(rings, lambda r: F.when(r.isNotNull() & r[0].isNotNull(), make(kind, r, _dim(r)).cast(SHAPE_T)))
+    return _all_or_none(F.transform(F.regexp_extract_all(without_comments(kml), F.lit(_GEOMETRY), F.lit(0)), one))
 
-    shapes = F.concat(
-        F.transform(simple("Point"), lambda t: one("point", F.array(_kml_points(t)))),
-        F.transform(F.concat(simple("LineString"), rings), lambda t: one("linestring", F.array(_kml_points(t)))),
-        F.transform(areas, lambda t: one("polygon", area(t))),
-    )
-    return _all_or_none(shapes)
+
+def kml_shapes(kml: Column) -> Column:
+    """Shapes of the geometry elements anywhere in the text."""
+    return F.transform(kml_geometries(kml), lambda g: g["shape"])
 
 
 def kml_shape(kml: Column) -> Column:
     """The first shape of the text; null if there is none."""
-    return F.get(kml_shapes(kml), F.lit(0))
+    return F.get(kml_geometries(kml), F.lit(0))["shape"]
 
 
 def kml_uri(kml: Column) -> Column:
-    """The id of the geometry element (or of whatever has the first one); null without one."""
-    geometry = F.regexp_extract(kml, r"""<(?:\w+:)?(?:Point|LineString|LinearRing|Polygon|MultiGeometry)\b[^>]*\b(?:id|ID)=["']([^"']*)["']""", 1)
-    return F.coalesce(F.nullif(geometry, F.lit("")), F.nullif(F.regexp_extract(kml, r"""\b(?:id|ID)=["']([^"']*)["']""", 1), F.lit("")))
+    """The id of the first geometry element; null without one."""
+    return F.get(kml_geometries(kml), F.lit(0))["uri"]
 
 
 def shape_kml(shape: Column, attributes: Column | None = None, content: Column | None = None) -> Column:
@@ -233,6 +263,12 @@ def xml_escaped(v: Column) -> Column:
     return v
 
 
+def xml_unescaped(v: Column) -> Column:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        v = F.replace(v, F.lit(a), F.lit(b))
+    return v
+
+
 # GeoRSS-Simple
 
 

@@ -1,204 +1,335 @@
-"""Exact planar predicates and distance between shapes, as Column expressions.
+"""Exact planar predicates and distance between shapes.
 
-No tolerance anywhere: a point is on a segment only if the cross product is exactly zero, and
-crossings are counted without division.
+Each is built as one SQL text, chosen by the kinds that its two sides may have, and parsed by Spark in one go; a side whose
+kind is known, such as a query's own shape, brings only the branches that kind needs.  No tolerance anywhere: a point is on a
+segment only if the cross product is exactly zero, and crossings are counted without division.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
+from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import let, points_of, xyz
+KINDS = ("point", "linestring", "polygon", "box", "circle")
+#: Kinds that go through the same formulas.
+_CLASS = {"point": "point", "linestring": "line", "polygon": "area", "box": "area", "circle": "circle"}
+_fresh = count()
 
 
-def bound(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
-    """f of two shapes, each of which enters the plan once."""
+def _name(prefix: str) -> str:
+    return f"{prefix}{next(_fresh) % 100_000}"
 
-    @wraps(f)
-    def g(a: Column, b: Column) -> Column:
-        return let(F.struct(a.alias("a"), b.alias("b")), lambda s: f(s["a"], s["b"]))
 
-    return g
+def _let(value: str, use: Callable[[str], str]) -> str:
+    v = _name("v")
+    return f"get(transform(array({value}), {v} -> {use(v)}), 0)"
 
 
-def segments(ring: Column) -> Column:
-    n = F.size(ring)
-    m = F.greatest(n - 1, F.lit(0))
-    return F.zip_with(F.slice(ring, F.lit(1), m), F.slice(ring, F.lit(2), m), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def _exists(items: str, test: Callable[[str], str]) -> str:
+    v = _name("e")
+    return f"exists({items}, {v} -> {test(v)})"
 
 
-def edges_of(shape: Column) -> Column:
-    return F.flatten(F.transform(shape["rings"], segments))
+def _all(items: str, test: Callable[[str], str]) -> str:
+    v = _name("f")
+    return f"forall({items}, {v} -> {test(v)})"
 
 
-def turn(a: Column, b: Column, p: Column) -> Column:
-    """Twice the signed area of a, b, p."""
-    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+def _map(items: str, f: Callable[[str], str]) -> str:
+    v = _name("m")
+    return f"transform({items}, {v} -> {f(v)})"
 
 
-def same(p: Column, q: Column) -> Column:
-    return (p["x"] == q["x"]) & (p["y"] == q["y"])
+def _each(items: str, f: Callable[[str], str]) -> str:
+    return f"flatten({_map(items, f)})"
 
 
-def on_segment(p: Column, s: Column) -> Column:
-    a, b = s["a"], s["b"]
-    inside = p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-    return inside & (turn(a, b, p) == 0)
+# Parts of a shape
 
 
-def on_ring(p: Column, ring: Column) -> Column:
-    return F.exists(segments(ring), lambda s: on_segment(p, s))
+def _ring(s: str) -> str:
+    return f"get({s}.rings, 0)"
 
 
-def odd_crossings(p: Column, ring: Column) -> Column:
-    """Even-odd rule with the division-free crossing test."""
+def _first(s: str) -> str:
+    return f"get({_ring(s)}, 0)"
 
-    def crosses(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        o = turn(a, b, p)
-        return ((a["y"] > p["y"]) != (b["y"] > p["y"])) & (o != 0) & ((o > 0) == (b["y"] > a["y"]))
 
-    return F.aggregate(segments(ring), F.lit(False), lambda acc, s: acc != crosses(s))
+def _points(s: str) -> str:
+    return f"flatten({s}.rings)"
 
 
-def _holes(shape: Column) -> Column:
-    return F.slice(shape["rings"], F.lit(2), F.greatest(F.size(shape["rings"]) - 1, F.lit(0)))
+def _holes(s: str) -> str:
+    return f"slice({s}.rings, 2, greatest(size({s}.rings) - 1, 0))"
 
 
-def in_area(p: Column, shape: Column) -> Column:
-    """In the closed polygon."""
-    shell = shape["rings"][0]
-    return (on_ring(p, shell) | odd_crossings(p, shell)) & ~F.exists(_holes(shape), lambda h: odd_crossings(p, h) & ~on_ring(p, h))
+def _segments(ring: str) -> str:
+    a, b = _name("a"), _name("b")
+    return f"zip_with(slice({ring}, 1, greatest(size({ring}) - 1, 0)), slice({ring}, 2, greatest(size({ring}) - 1, 0)), ({a}, {b}) -> struct({a} as a, {b} as b))"
 
 
-def in_interior(p: Column, shape: Column) -> Column:
-    """Strictly inside the polygon."""
-    shell = shape["rings"][0]
-    return odd_crossings(p, shell) & ~on_ring(p, shell) & ~F.exists(_holes(shape), lambda h: odd_crossings(p, h) | on_ring(p, h))
+def _edges(s: str) -> str:
+    return _each(f"{s}.rings", _segments)
+
+
+# Points and segments
+
+
+def _turn(a: str, b: str, p: str) -> str:
+    """Twice the signed area of a, b, p."""
+    return f"(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"
+
+
+def _same(p: str, q: str) -> str:
+    return f"({p}.x = {q}.x and {p}.y = {q}.y)"
+
+
+def _on_segment(p: str, s: str) -> str:
+    a, b = f"{s}.a", f"{s}.b"
+    inside = " and ".join(f"{p}.{c} between least({a}.{c}, {b}.{c}) and greatest({a}.{c}, {b}.{c})" for c in "xy")
+    return f"({inside} and {_turn(a, b, p)} = 0)"
+
 
+def _on_ring(p: str, ring: str) -> str:
+    return _exists(_segments(ring), lambda s: _on_segment(p, s))
 
-def is_area(shape: Column) -> Column:
-    return shape["kind"].isin("polygon", "box")
 
+def _on_edges(p: str, s: str) -> str:
+    return _exists(_edges(s), lambda e: _on_segment(p, e))
 
-def covers_point(shape: Column, p: Column) -> Column:
-    """p is a point of the shape, boundary included."""
-    return F.when(is_area(shape), in_area(p, shape)).otherwise(F.exists(points_of(shape), lambda q: same(p, q)) | F.exists(edges_of(shape), lambda s: on_segment(p, s)))
 
+def _odd_crossings(p: str, ring: str) -> str:
+    """Even-odd rule with the division-free crossing test."""
+    t, s = _name("t"), _name("s")
+    o = _turn(f"{s}.a", f"{s}.b", p)
+    crosses = f"((({s}.a.y > {p}.y) != ({s}.b.y > {p}.y)) and {o} != 0 and (({o} > 0) = ({s}.b.y > {s}.a.y)))"
+    return f"aggregate({_segments(ring)}, false, ({t}, {s}) -> {t} != {crosses})"
+
+
+def _in_area(p: str, s: str) -> str:
+    """In the closed polygon."""
+    return f"(({_on_ring(p, _ring(s))} or {_odd_crossings(p, _ring(s))}) and not {_exists(_holes(s), lambda h: f'({_odd_crossings(p, h)} and not {_on_ring(p, h)})')})"
 
-def _sign(v: Column) -> Column:
-    return F.signum(v)
+
+def _in_interior(p: str, s: str) -> str:
+    """Strictly inside the polygon."""
+    return f"({_odd_crossings(p, _ring(s))} and not {_on_ring(p, _ring(s))} and not {_exists(_holes(s), lambda h: f'({_odd_crossings(p, h)} or {_on_ring(p, h)})')})"
 
 
-def segments_meet(s: Column, t: Column) -> Column:
-    a, b, c, d = s["a"], s["b"], t["a"], t["b"]
-    cross = (_sign(turn(a, b, c)) * _sign(turn(a, b, d)) < 0) & (_sign(turn(c, d, a)) * _sign(turn(c, d, b)) < 0)
-    return cross | on_segment(c, s) | on_segment(d, s) | on_segment(a, t) | on_segment(b, t)
+def _opposite(s: str, t: str) -> str:
+    return f"signum({_turn(f'{s}.a', f'{s}.b', f'{t}.a')}) * signum({_turn(f'{s}.a', f'{s}.b', f'{t}.b')}) < 0"
 
 
-def segments_cross(s: Column, t: Column) -> Column:
+def _cross(s: str, t: str) -> str:
     """In one point inside both."""
-    a, b, c, d = s["a"], s["b"], t["a"], t["b"]
-    return (_sign(turn(a, b, c)) * _sign(turn(a, b, d)) < 0) & (_sign(turn(c, d, a)) * _sign(turn(c, d, b)) < 0)
+    return f"({_opposite(s, t)} and {_opposite(t, s)})"
 
 
-def _circle(shape: Column) -> Column:
-    return shape["kind"] == "circle"
+def _meet(s: str, t: str) -> str:
+    ends = [_on_segment(f"{t}.a", s), _on_segment(f"{t}.b", s), _on_segment(f"{s}.a", t), _on_segment(f"{s}.b", t)]
+    return f"({_cross(s, t)} or {' or '.join(ends)})"
 
 
-@bound
-def intersects(a: Column, b: Column) -> Column:
-    """The shapes share a point; a circle stands for the disc of its radius."""
-    meet = F.exists(edges_of(a), lambda s: F.exists(edges_of(b), lambda t: segments_meet(s, t)))
-    plain = meet | F.exists(points_of(b), lambda p: covers_point(a, p)) | F.exists(points_of(a), lambda p: covers_point(b, p))
-    reach = F.coalesce(a["radius"], F.lit(0.0)) + F.coalesce(b["radius"], F.lit(0.0))
-    return F.when(_circle(a) | _circle(b), plain | (_gap(a, b) <= reach)).otherwise(plain)
+def _edge_pairs(a: str, b: str, test: Callable[[str, str], str]) -> str:
+    """Some edge of a and some edge of b pass the test; b's edges are made once."""
+    return _let(_edges(b), lambda e: _exists(_edges(a), lambda s: _exists(e, lambda t: test(s, t))))
 
 
-def _midpoints(s: Column, rings: Column) -> Column:
+def _middles(s: str, rings: str) -> str:
     """Midpoints of the parts into which the vertices of rings that lie on the segment cut it."""
-    a, b = s["a"], s["b"]
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    along = F.transform(F.filter(F.flatten(rings), lambda v: on_segment(v, s)), lambda v: ((v["x"] - a["x"]) * dx + (v["y"] - a["y"]) * dy) / (dx * dx + dy * dy))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(along, lambda t: (t > 0) & (t < 1)))))
-    middle = lambda t, u: xyz(a["x"] + (t + u) / 2 * dx, a["y"] + (t + u) / 2 * dy)
-    return let(cuts, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), middle))
+    a, b = f"{s}.a", f"{s}.b"
+    dx, dy = f"({b}.x - {a}.x)", f"({b}.y - {a}.y)"
+    p, q, t, u = _name("p"), _name("q"), _name("t"), _name("u")
+    along = f"transform(filter(flatten({rings}), {p} -> {_on_segment(p, s)}), {q} -> (({q}.x - {a}.x) * {dx} + ({q}.y - {a}.y) * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0))"
+    cuts = f"array_sort(array_distinct(concat(array(0D, 1D), filter({along}, {t} -> {t} > 0 and {t} < 1))))"
+    middle = lambda t, u: f"struct({a}.x + ({t} + {u}) / 2 * {dx} as x, {a}.y + ({t} + {u}) / 2 * {dy} as y)"
+    return _let(cuts, lambda c: f"zip_with(slice({c}, 1, size({c}) - 1), slice({c}, 2, size({c}) - 1), ({t}, {u}) -> {middle(t, u)})")
+
+
+def _flat(points: str) -> str:
+    """Points without z, to stand in one array with midpoints."""
+    return _map(points, lambda p: f"struct({p}.x as x, {p}.y as y)")
+
+
+def _with_middles(s: str, rings: str) -> str:
+    """The points of a shape, and the midpoints of its edges as cut by the vertices of rings."""
+    return f"concat({_flat(_points(s))}, {_each(_edges(s), lambda e: _middles(e, rings))})"
+
+
+def _between(p: str, q: str) -> str:
+    return f"sqrt(({p}.x - {q}.x) * ({p}.x - {q}.x) + ({p}.y - {q}.y) * ({p}.y - {q}.y))"
+
+
+def _to_segment(p: str, s: str) -> str:
+    a = f"{s}.a"
+    dx, dy = f"({s}.b.x - {a}.x)", f"({s}.b.y - {a}.y)"
+    t = f"coalesce(greatest(0D, least(1D, (({p}.x - {a}.x) * {dx} + ({p}.y - {a}.y) * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0))), 0D)"
+    return _let(t, lambda t: f"sqrt(({p}.x - ({a}.x + {t} * {dx})) * ({p}.x - ({a}.x + {t} * {dx})) + ({p}.y - ({a}.y + {t} * {dy})) * ({p}.y - ({a}.y + {t} * {dy})))")
+
+
+def _to_edges(p: str, s: str) -> str:
+    return f"array_min({_map(_edges(s), lambda e: _to_segment(p, e))})"
+
+
+def _line_ends(s: str, p: str) -> str:
+    """p is an end of the open line."""
+    last = f"element_at({_ring(s)}, -1)"
+    return f"(not {_same(_first(s), last)} and ({_same(p, _first(s))} or {_same(p, last)}))"
+
+
+def _in_line(p: str, s: str) -> str:
+    """On the line, but not at its ends."""
+    return f"({_on_edges(p, s)} and not {_line_ends(s, p)})"
+
+
+# By class of both sides.  a and b are names; a formula may use each as often as it likes.
+
+
+def _intersects(a: str, x: str, b: str, y: str) -> str:
+    order = ("point", "line", "area", "circle")
+    if order.index(x) > order.index(y):
+        a, x, b, y = b, y, a, x
+    if y == "circle":
+        return f"({_between(_first(a), _first(b))} <= {a}.radius + {b}.radius)" if x == "circle" else f"({_from_point(_first(b), a, x)} <= {b}.radius)"
+    if x == "point":
+        return {"point": _same, "line": _on_edges, "area": _in_area}[y](_first(a), _first(b) if y == "point" else b)
+    # Without a common point of edges one shape is inside the other or outside, whole.
+    inside = [_in_area(_first(s), t) for s, t, kind in ((a, b, y), (b, a, x)) if kind == "area"]
+    return "(" + " or ".join([_edge_pairs(a, b, _meet), *inside]) + ")"
+
+
+def _from_point(p: str, s: str, kind: str) -> str:
+    """Distance of a point from a shape."""
+    if kind == "point":
+        return _between(p, _first(s))
+    if kind == "circle":
+        return f"greatest(0D, {_between(p, _first(s))} - {s}.radius)"
+    away = _to_edges(p, s)
+    return away if kind == "line" else f"CASE WHEN {_in_area(p, s)} THEN 0D ELSE {away} END"
+
+
+def _distance(a: str, x: str, b: str, y: str) -> str:
+    if x == "point":
+        return _from_point(_first(a), b, y)
+    if y == "point":
+        return _from_point(_first(b), a, x)
+    if x == "circle":
+        return f"greatest(0D, {_from_point(_first(a), b, y)} - {a}.radius)"
+    if y == "circle":
+        return f"greatest(0D, {_from_point(_first(b), a, x)} - {b}.radius)"
+    nearest = lambda s, t: f"array_min({_map(_points(s), lambda p: _to_edges(p, t))})"
+    return f"CASE WHEN {_intersects(a, x, b, y)} THEN 0D ELSE least({nearest(a, b)}, {nearest(b, a)}) END"
+
+
+def _contains(a: str, x: str, b: str, y: str) -> str:
+    p = _first(b)
+    if x == "circle":
+        if y == "circle":
+            return f"({_between(_first(a), p)} + {b}.radius <= {a}.radius)"
+        return _all(_points(b), lambda q: f"{_between(_first(a), q)} <= {a}.radius")
+    if x == "point":
+        return _same(_first(a), p) if y == "point" else "false"
+    if x == "line":
+        if y == "point":
+            return _in_line(p, a)
+        return _all(_with_middles(b, f"{a}.rings"), lambda q: _on_edges(q, a)) if y == "line" else "false"
+    if y == "point":
+        return _in_interior(p, a)
+    if y == "circle":
+        return f"({_in_interior(p, a)} and {_to_edges(p, a)} >= {b}.radius)"
+    uncut = f"not {_edge_pairs(a, b, _cross)}"
+    if y == "line":
+        return _let(_with_middles(b, f"{a}.rings"), lambda q: f"({uncut} and {_all(q, lambda v: _in_area(v, a))} and {_exists(q, lambda v: _in_interior(v, a))})")
+    # b's boundary is in a, no hole of a reaches into b, and b isn't itself a hole of a.
+    inside = _all(_with_middles(b, f"{a}.rings"), lambda v: _in_area(v, a))
+    open_hole = lambda h: _exists(f"concat({_flat(h)}, {_each(_segments(h), lambda e: _middles(e, f'{b}.rings'))})", lambda v: _in_interior(v, b))
+    shell = lambda h: f"concat({_flat(_ring(b))}, {_each(_segments(_ring(b)), lambda e: _middles(e, f'array({h})'))})"
+    is_hole = lambda h: _all(shell(h), lambda v: _on_ring(v, h))
+    return f"({uncut} and {inside} and not {_exists(_holes(a), lambda h: f'({open_hole(h)} or {is_hole(h)})')})"
+
+
+def _touches(a: str, x: str, b: str, y: str) -> str:
+    """The shapes meet, but only where one of them has its boundary.  A circle is a disc."""
+    if "circle" in (x, y):
+        if x != "circle":
+            a, x, b, y = b, y, a, x
+        gap = _from_point(_first(a), b, "point" if y == "circle" else y)
+        return f"({gap} = {a}.radius + {b}.radius)" if y == "circle" else f"({gap} = {a}.radius)"
+    deep = []
+    if x == "area":
+        deep.append(_exists(_with_middles(b, f"{a}.rings"), lambda q: _in_interior(q, a)))
+    if y == "area":
+        deep.append(_exists(_with_middles(a, f"{b}.rings"), lambda q: _in_interior(q, b)))
+    if x == y == "line":
+        both = lambda q: f"({_in_line(q, a)} and {_in_line(q, b)})"
+        deep += [_exists(_with_middles(s, f"{t}.rings"), both) for s, t in ((a, b), (b, a))]
+    if "point" not in (x, y):
+        deep.append(_edge_pairs(a, b, _cross))
+    if "point" in (x, y) or x == y == "area":  # equal shapes too
+        deep += [_contains(a, x, b, y), _contains(b, y, a, x)]
+    return f"({_intersects(a, x, b, y)} and not ({' or '.join(deep)}))"
+
+
+Formula = Callable[[str, str, str, str], str]
+
+
+def _by_kind(s: str, kinds: Sequence[str], f: Callable[[str], str]) -> str:
+    """f of the class of s, by its kind if it can be of several."""
+    classes: dict[str, list[str]] = {}
+    for k in kinds:
+        classes.setdefault(_CLASS[k], []).append(k)
+    if len(classes) == 1:
+        return f(next(iter(classes)))
+    whens = " ".join(f"WHEN {s}.kind IN ({', '.join(map(repr, names))}) THEN {f(c)}" for c, names in classes.items())
+    return f"CASE {whens} END"
+
+
+def _applied(f: Formula, a: Column, b: Column, a_kinds: Sequence[str], b_kinds: Sequence[str]) -> Column:
+    """f of two shapes, each of which enters the plan once."""
+    s = _name("s")
+    text = _by_kind(f"{s}.a", a_kinds, lambda x: _by_kind(f"{s}.b", b_kinds, lambda y: f(f"{s}.a", x, f"{s}.b", y)))
+    return F.get(F.call_function("transform", F.array(F.struct(a.alias("a"), b.alias("b"))), F.expr(f"{s} -> {text}")), F.lit(0))
 
 
-@bound
-def contains(a: Column, b: Column) -> Column:
-    """No point of b is outside a, and their interiors meet: a point on a polygon's boundary isn't contained."""
-    p = b["rings"][0][0]
-    line, shell = a["rings"][0], a["rings"]
-    closed = same(line[0], F.element_at(line, -1))
-    ends = ~closed & (same(p, line[0]) | same(p, F.element_at(line, -1)))
-    covered = F.forall(points_of(b), lambda q: covers_point(a, q))
-    uncut = ~F.exists(edges_of(b), lambda s: F.exists(edges_of(a), lambda t: segments_cross(s, t)))
-    middles = F.flatten(F.transform(edges_of(b), lambda s: _midpoints(s, shell)))
-    through = F.forall(middles, lambda q: covers_point(a, q))
-    inner = F.exists(F.concat(points_of(b), middles), lambda q: in_interior(q, a))
-    solid = ~F.exists(F.flatten(_holes(a)), lambda v: in_interior(v, b))
-    point = b["kind"] == "point"
-    return (
-        F.when(_circle(a), (_farthest(a, b) <= a["radius"]) & ~_circle(b) | _circle(b) & (_gap(a, b) + b["radius"] <= a["radius"]))
-        .when(_circle(b), F.lit(False))
-        .when(a["kind"] == "point", point & same(a["rings"][0][0], p))
-        .when(is_area(a) & point, in_interior(p, a))
-        .when(is_area(a) & is_area(b), covered & uncut & through & solid)
-        .when(is_area(a), covered & uncut & through & inner)
-        .when(point, F.exists(edges_of(a), lambda s: on_segment(p, s)) & ~ends)
-        .when(is_area(b), F.lit(False))
-        .otherwise(covered & F.forall(middles, lambda q: covers_point(a, q)))
-    )
-
-
-@bound
-def touches(a: Column, b: Column) -> Column:
-    """The shapes meet, but only where one of them has its boundary."""
-    cross = F.exists(edges_of(a), lambda s: F.exists(edges_of(b), lambda t: segments_cross(s, t)))
-    mid_a = F.flatten(F.transform(edges_of(a), lambda s: _midpoints(s, b["rings"])))
-    mid_b = F.flatten(F.transform(edges_of(b), lambda s: _midpoints(s, a["rings"])))
-    deep = (is_area(b) & F.exists(F.concat(points_of(a), mid_a), lambda q: in_interior(q, b))) | (is_area(a) & F.exists(F.concat(points_of(b), mid_b), lambda q: in_interior(q, a)))
-    return intersects(a, b) & ~cross & ~deep & ~contains(a, b) & ~contains(b, a)
+def intersects(a: Column, b: Column, a_kinds: Sequence[str] = KINDS, b_kinds: Sequence[str] = KINDS) -> Column:
+    """The shapes share a point; a circle stands for the disc of its radius."""
+    return _applied(_intersects, a, b, a_kinds, b_kinds)
 
 
-def _to_segment(p: Column, s: Column) -> Column:
-    a, b = s["a"], s["b"]
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    n = dx * dx + dy * dy
-    t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / n)))
-    ex, ey = p["x"] - (a["x"] + t * dx), p["y"] - (a["y"] + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+def contains(a: Column, b: Column, a_kinds: Sequence[str] = KINDS, b_kinds: Sequence[str] = KINDS) -> Column:
+    """No point of b is outside a, and their interiors meet: a point on a polygon's boundary isn't contained."""
+    return _applied(_contains, a, b, a_kinds, b_kinds)
 
 
-def _between(p: Column, q: Column) -> Column:
-    dx, dy = p["x"] - q["x"], p["y"] - q["y"]
-    return F.sqrt(dx * dx + dy * dy)
+def touches(a: Column, b: Column, a_kinds: Sequence[str] = KINDS, b_kinds: Sequence[str] = KINDS) -> Column:
+    """The shapes meet, but only where one of them has its boundary."""
+    return _applied(_touches, a, b, a_kinds, b_kinds)
 
 
-def _nearest(p: Column, shape: Column) -> Column:
-    return F.least(F.array_min(F.transform(points_of(shape), lambda q: _between(p, q))), F.array_min(F.transform(edges_of(shape), lambda s: _to_segment(p, s))))
+def distance(a: Column, b: Column, a_kinds: Sequence[str] = KINDS, b_kinds: Sequence[str] = KINDS) -> Column:
+    """In coordinate units (degrees): 0 if the shapes intersect."""
+    return _applied(_distance, a, b, a_kinds, b_kinds)
 
 
-def _gap(a: Column, b: Column) -> Column:
-    """Of shapes without a common point; of a circle's centre."""
-    one = F.array_min(F.transform(points_of(a), lambda p: _nearest(p, b)))
-    two = F.array_min(F.transform(points_of(b), lambda p: _nearest(p, a)))
-    inside = F.exists(points_of(b), lambda p: covers_point(a, p)) | F.exists(points_of(a), lambda p: covers_point(b, p))
-    return F.when(inside, 0.0).otherwise(F.least(one, two))
+# One literal shape against points given by two numbers: plain arithmetic, without arrays.
 
 
-def _farthest(a: Column, b: Column) -> Column:
-    return F.array_max(F.transform(points_of(b), lambda q: _between(a["rings"][0][0], q)))
+def point_in_rings(x: str, y: str, rings: Sequence[Sequence[Sequence[float]]], closed: bool = False) -> str:
+    """SQL text: inside the polygon whose rings are given as numbers, strictly or, if closed, on its boundary too."""
 
+    def ring(points: Sequence[Sequence[float]]) -> tuple[str, str]:
+        odd, on = [], []
+        for (ax, ay, *_), (bx, by, *_) in zip(points, points[1:]):
+            o = f"({bx - ax!r}D * ({y} - {ay!r}D) - {by - ay!r}D * ({x} - {ax!r}D))"
+            if ay != by:
+                odd.append(f"CASE WHEN {y} >= {min(ay, by)!r}D AND {y} < {max(ay, by)!r}D AND {o} {'>' if by > ay else '<'} 0 THEN 1 ELSE 0 END")
+            on.append(f"({x} between {min(ax, bx)!r}D and {max(ax, bx)!r}D and {y} between {min(ay, by)!r}D and {max(ay, by)!r}D and {o} = 0)")
+        return f"(({' + '.join(odd) or '0'}) % 2 = 1)", f"({' or '.join(on) or 'false'})"
 
-@bound
-def distance(a: Column, b: Column) -> Column:
-    """In coordinate units (degrees): 0 if the shapes intersect."""
-    points = (a["kind"] == "point") & (b["kind"] == "point")
-    reach = F.coalesce(a["radius"], F.lit(0.0)) + F.coalesce(b["radius"], F.lit(0.0))
-    return F.when(points, _between(a["rings"][0][0], b["rings"][0][0])).when(intersects(a, b), 0.0).otherwise(F.greatest(F.lit(0.0), _gap(a, b) - reach))
+    (odd, on), *holes = [ring([[float(v) for v in p] for p in r]) for r in rings]
+    if closed:
+        return " and ".join([f"({odd} or {on})", *(f"not ({o} and not {at})" for o, at in holes)])
+    return " and ".join([odd, f"not {on}", *(f"not ({o} or {at})" for o, at in holes)])

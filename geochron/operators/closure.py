@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.triples import LINKS
-
+from ..sources.triples import LINKS, Source, candidates
+from ..storage import discard, written
+from .mutations import ops
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the folder that all executors share: rounds then don't pile up lineage."""
-    spark = df.sparkSession
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{place.rstrip('/')}/geochron-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_STEP = "closure"
 
 
-def reachable(links: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """node, depth: all nodes reachable from start (node), start included at depth 0.  links: src, dst.
 
-    Breadth first: each round joins the frontier only, and drops what was seen before.
+    Breadth first.  One table holds what is seen: each round joins the rows of the last depth only with the links and adds what they reach
+    with one aggregation, so plans don't grow with depth and a round reads what the round before wrote, no more.  The number of rounds is the longest shortest path.
     """
-    seen = _written(start.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    frontier = seen
-    for depth in range(1, most_rounds + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _written(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if not frontier.limit(1).count():
+    seen = written(start.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), _STEP)
+    edges = written(links.select("src", "dst").where("dst is not null").distinct(), _STEP)
+    depth = 0
+    while True:
+        depth += 1
+        step = seen.where(F.col("depth") == depth - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"))
+        new = written(step.distinct().join(seen.select("node"), "node", "left_anti").select("node", "depth"), _STEP)
+        if new.isEmpty():
+            discard(new, edges)
             return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"no end after {most_rounds} rounds")
+        both = written(seen.unionByName(new), _STEP)
+        discard(seen, new)
+        seen = both
 
 
 def link_pairs(triples: DataFrame, properties: tuple[str, ...] = LINKS) -> DataFrame:
@@ -44,16 +42,24 @@ def crawled(triples: DataFrame, start: DataFrame, properties: tuple[str, ...] =
     graph of its object's name, and the links inside a graph lead on.
     """
     links = triples.where(F.col("p").isin(*properties)).select(F.col("graph").alias("src"), F.col("o").alias("dst"))
-    return triples.join(reachable(links, start).withColumnRenamed("node", "graph"), "graph", "left_semi")
+    return triples.join(reachable(links, start).select(F.col("node").alias("graph")), "graph", "left_semi")
+
+
+def load(triples: DataFrame, graph: str, seq: int, index: str | None = None, more: tuple[Source, ...] = ()) -> DataFrame:
+    """Log rows that assert every shape of a source."""
+    return ops(candidates(triples.where(F.col("graph") == graph), more), "assert", seq, index)
+
 
+def unload(triples: DataFrame, graph: str, seq: int, index: str | None = None, more: tuple[Source, ...] = ()) -> DataFrame:
+    """Log rows that take back every shape of a source."""
+    return ops(candidates(triples.where(F.col("graph") == graph), more), "retract", seq, index)
 
-def load(triples: DataFrame, graph: str, seq: int, index: str = "space_index") -> DataFrame:
-    """Log rows that assert every shape of a source; with op retract (see unload) they take them back."""
-    from ..sources.triples import candidates
-    from .mutations import ops
 
-    return ops(candidates(triples.where(F.col("graph") == graph)), "assert", seq, index)
+def crawl(triples: DataFrame, start: DataFrame, seq: int, index: str | None = None, properties: tuple[str, ...] = LINKS) -> DataFrame:
+    """Log rows that assert the shapes of start's sources and of all that they lead to."""
+    return ops(candidates(crawled(triples, start, properties)), "assert", seq, index)
 
 
-def unload(triples: DataFrame, graph: str, seq: int, index: str = "space_index") -> DataFrame:
-    return load(triples, graph, seq, index).withColumn("op", F.lit("retract"))
+def uncrawl(triples: DataFrame, start: DataFrame, seq: int, index: str | None = None, properties: tuple[str, ...] = LINKS) -> DataFrame:
+    """Log rows that take back what crawl() asserts, link by link."""
+    return ops(candidates(crawled(triples, start, properties)), "retract", seq, index)

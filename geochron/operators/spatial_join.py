@@ -1,52 +1,132 @@
-"""Joins of two feature tables by place or time, as equi-joins on grid cells.
+"""Joins of two tables by place or time, as equi-joins on grid cells.
 
 Spark plans a join on ranges as a nested loop.  Here both sides are exploded over the cells that their boxes
-touch and joined on the cell; a pair is emitted only in the cell that holds the lower-left corner of the intersection of
+touch and joined on the cell; a pair is emitted only in the cell that holds the lower corner of the intersection of
 the boxes, so it comes out once without a distinct.
+
+The grid has levels, each with cells four times as wide as the one below.  The finest has cells as wide as the median box of the side whose median
+is larger; a box is dealt on the lowest level whose cells are at least as wide as itself, hence to four cells at most, and on the levels above that
+which the other side uses.  So one very large box adds a level, not a cell for every small one, and a pair meets on the level of its larger box.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
+from ..options import Options
+from ..storage import discard, written
 
 BOX = ("minx", "miny", "maxx", "maxy")
+_BOX_AXES = (("minx", "maxx"), ("miny", "maxy"))
+_TIME_AXES = (("t_begin", "t_end"),)
+
+
+class _Grid:
+    """Cell width of the lowest level, and the levels that each side uses."""
+
+    def __init__(self, sides: dict[str, DataFrame], axes, margin: float, cell: float | None, flat: bool = False):
+        self.axes, self.margin = axes, {"l_": margin, "r_": 0.0}
+        self.cell = cell or self._cell(sides)
+        if flat:  # the caller knows that no box is wider than a cell
+            self.flat = True
+            return
+        self.levels = {p: sorted({r[0] for r in df.select(self.level(self._side(p)).alias("l")).distinct().collect() if r[0] is not None}) for p, df in sides.items()}
+        self.flat = all(v in ([], [0]) for v in self.levels.values())
+
+    def _cell(self, sides: dict[str, DataFrame]) -> float:
+        found = {}
+        for p, df in sides.items():
+            lo, hi = self.axes[0]
+            found[p] = df.agg(F.percentile_approx(self._side(p), 0.5, 1000), F.max(hi) - F.min(lo), F.count(F.lit(1))).first()
+        # Boxes without extent: about a row a cell.
+        apart = max((r[1] or 0.0) / max(1.0, sqrt(r[2])) for r in found.values())
+        return max(*[r[0] or 0.0 for r in found.values()], 0.0) or apart or 1.0
+
+    def level(self, side: Column) -> Column:
+        """0 for boxes up to a cell wide.  Widths of all levels are the lowest's times powers of four, exactly."""
+        up = F.ceil(F.log(side / self.cell) / log(4) - 1e-9)
+        return F.when(side <= self.cell, 0).otherwise(F.greatest(up, F.lit(1)) + F.when(side > self.width(F.greatest(up, F.lit(1))), 1).otherwise(0)).cast("int")
+
+    def width(self, level: Column) -> Column:
+        return F.lit(self.cell) * F.pow(F.lit(4.0), level)
+
+    def dealt(self, df: DataFrame, p: str) -> DataFrame:
+        """df with its columns prefixed, a row for each cell it is dealt to: _m (unless there is one level), _c0, _c1."""
+        rows = df.toDF(*[p + c for c in df.columns])
+        width = F.lit(self.cell)
+        if not self.flat:
+            rows = rows.withColumn(p + "_level", self.level(self._side(p, p)))
+            other = self.levels["r_" if p == "l_" else "l_"]
+            above = F.filter(F.array(*[F.lit(m) for m in other]).cast("array<int>"), lambda m: m > F.col(p + "_level"))
+            rows = rows.withColumn("_m", F.explode(F.concat(F.array(F.col(p + "_level")), above)))
+            width = self.width(F.col("_m"))
+        m = self.margin[p]
+        for i, (lo, hi) in enumerate(self.axes):
+            rows = rows.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.col(p + lo) - m) / width), F.floor((F.col(p + hi) + m) / width))))
+        return rows
+
+    def _side(self, p: str, prefix: str = "") -> Column:
+        """The widest side of a box of side p, margin included."""
+        sides = [F.col(prefix + hi) - F.col(prefix + lo) for lo, hi in self.axes]
+        return (F.greatest(*sides) if len(sides) > 1 else sides[0]) + 2 * self.margin[p]
+
+    @property
+    def keys(self) -> list[str]:
+        return ([] if self.flat else ["_m"]) + [f"_c{i}" for i in range(len(self.axes))]
+
+    def meet(self) -> Column:
+        m, tests = self.margin["l_"], []
+        for lo, hi in self.axes:
+            tests += [F.col("l_" + lo) - m <= F.col("r_" + hi), F.col("l_" + hi) + m >= F.col("r_" + lo)]
+        if not self.flat:
+            tests.append(F.col("_m") == F.greatest("l__level", "r__level"))
+        return _every(tests)
+
+    def home(self) -> Column:
+        width = F.lit(self.cell) if self.flat else self.width(F.col("_m"))
+        return _every([F.floor(F.greatest(F.col("l_" + lo) - self.margin["l_"], F.col("r_" + lo)) / width) == F.col(f"_c{i}") for i, (lo, _) in enumerate(self.axes)])
+
+
+def _every(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
+def _joined(left: DataFrame, right: DataFrame, axes, margin: float, cell: float | None, flat: bool = False) -> DataFrame:
+    grid = _Grid({"l_": left, "r_": right}, axes, margin, cell, flat)
+    pairs = grid.dealt(left, "l_").join(grid.dealt(right, "r_"), grid.keys).where(grid.meet() & grid.home())
+    return pairs.drop(*grid.keys, "l__level", "r__level")
+
+
+def box_join(left: DataFrame, right: DataFrame, exact: Callable[[], Column] | None = None, margin: float = 0.0, cell: float | None = None, options: Options | None = None) -> DataFrame:
+    """Pairs whose boxes, left ones widened by margin, meet and that pass ``exact``.
 
-
-def cell_size(left: DataFrame, right: DataFrame, margin: float = 0.0) -> float:
-    """About the mean side of the boxes, and at least 1/4096 of the extent, which bounds the cells of a box of mean size."""
-    def sides(df: DataFrame, m: float):
-        return df.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) + 2 * m), F.max("maxx") - F.min("minx"), F.max("maxy") - F.min("miny")).first()
-
-    a, b = sides(left, margin), sides(right, 0.0)
-    extent = max([v for r in (a, b) for v in r[1:] if v is not None], default=1.0) or 1.0
-    return max([v for v in (a[0], b[0]) if v], default=extent / 100) if max(a[0] or 0, b[0] or 0) > extent / 4096 else extent / 256
-
-
-def _cells(df: DataFrame, prefix: str, g: float, margin: float) -> DataFrame:
-    lo = lambda c: F.floor((F.col(prefix + c) - margin) / g)
-    hi = lambda c: F.floor((F.col(prefix + c) + margin) / g)
-    rows = df.withColumn("_cx", F.explode(F.sequence(lo("minx"), hi("maxx"))))
-    return rows.withColumn("_cy", F.explode(F.sequence(lo("miny"), hi("maxy"))))
+    Columns of left are prefixed with l_, those of right with r_.  A hot cell is split by adaptive skew-join handling.  Rows without a box join nothing.
+    """
+    pairs = _joined(left, right, _BOX_AXES, margin, cell or (options or Options()).cell_size)
+    return pairs if exact is None else pairs.where(exact())
 
 
-def box_join(left: DataFrame, right: DataFrame, exact: Callable[[], Column] | None = None, margin: float = 0.0, cell: float | None = None) -> DataFrame:
-    """Pairs whose boxes, left ones widened by margin, meet and that pass ``exact``.
+def neighbours(left: DataFrame, right: DataFrame, exact: Callable[[], Column] | None = None, margin: float = 0.0, cell: float | None = None, anti: bool = False) -> DataFrame:
+    """Rows of left (uri, ...) that some row of right joins with as in box_join, or with anti those that none does.
 
-    Columns of left are prefixed with l_, those of right with r_.  A hot cell is split by adaptive skew-join handling.
+    A semi-join on the cells, which stops at a row's first partner in a cell: no table of all pairs is made.
     """
-    g = cell or cell_size(left, right, margin)
-    a = left.toDF(*["l_" + c for c in left.columns])
-    b = right.toDF(*["r_" + c for c in right.columns])
-    pairs = _cells(a, "l_", g, margin).join(_cells(b, "r_", g, 0.0), ["_cx", "_cy"])
-    meet = (F.col("l_minx") - margin <= F.col("r_maxx")) & (F.col("l_maxx") + margin >= F.col("r_minx")) & (F.col("l_miny") - margin <= F.col("r_maxy")) & (F.col("l_maxy") + margin >= F.col("r_miny"))
-    home = (F.floor(F.greatest(F.col("l_minx") - margin, F.col("r_minx")) / g) == F.col("_cx")) & (F.floor(F.greatest(F.col("l_miny") - margin, F.col("r_miny")) / g) == F.col("_cy"))
-    pairs = pairs.where(meet & home)
-    return (pairs if exact is None else pairs.where(exact())).drop("_cx", "_cy")
+    grid = _Grid({"l_": left, "r_": right}, _BOX_AXES, margin, cell)
+    test = grid.meet() if exact is None else grid.meet() & exact()
+    a, b = grid.dealt(left, "l_"), grid.dealt(right, "r_")
+    for k in grid.keys:
+        b = b.withColumnRenamed(k, "r" + k)
+    on = _every([F.col(k) == F.col("r" + k) for k in grid.keys])
+    found = a.join(b, on & test, "left_semi").select(F.col("l_uri").alias("uri")).distinct()
+    return left.join(found, "uri", "left_anti" if anti else "left_semi")
 
 
 def intersects_join(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
@@ -64,36 +144,59 @@ def distance_join(left: DataFrame, right: DataFrame, degrees: float, cell: float
     return pairs.withColumn("distance", kernel.distance(F.col("l_shape"), F.col("r_shape"))).where(F.col("distance") <= degrees)
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, start: float, prefix: tuple[str, str] = ("q", "p"), most_rounds: int = 40) -> DataFrame:
+def knn_join(queries: DataFrame, points: DataFrame, k: int, start: float | None = None) -> DataFrame:
     """The k nearest points of each query point, ties by uri: q_uri, rank, p_uri, distance.
 
-    queries and points: uri, x, y.  Rounds with a doubling radius: a query is done once k points lie within the radius;
-    only the others go on.  Each round is a cell join, so no round pairs all queries with all points.
+    queries and points: uri, x, y; rows without a finite place take no part.  Rounds with a growing radius: a query is done once k points lie within
+    the radius; only the others go on.  Each round is a cell join that starts from what the round before wrote, so plans stay as they are,
+    and the last radius spans both tables, so every query is done in the end.  start: the first radius; None: what holds about k points if they were spread evenly.
+    """
+    finite = lambda df: df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    square = lambda df: finite(df).select("uri", "x", "y", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
+    left, right = square(queries), written(square(points), "knn-points")
+    span = [F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count(F.lit(1))]
+    (ax, ay, bx, by, n), (cx, cy, dx, dy, m) = right.agg(*span).first(), left.agg(*span).first()
+    out = None
+    if n and m:
+        most = sqrt((max(bx, dx) - min(ax, cx)) ** 2 + (max(by, dy) - min(ay, cy)) ** 2) * (1 + 1e-9) or 1.0
+        radius = min(most, start or max(sqrt(max(bx - ax, 1e-9) * max(by - ay, 1e-9) * k / n), most * 1e-9))
+        left, w = written(left, "knn-left"), Window.partitionBy("q_uri").orderBy("distance", "p_uri")
+        while True:
+            gx, gy = F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y")
+            near = _joined(left, right, _BOX_AXES, radius, 2 * radius, flat=True).select(F.col("l_uri").alias("q_uri"), F.col("r_uri").alias("p_uri"), F.sqrt(gx * gx + gy * gy).alias("distance"))
+            near = near.where(F.col("distance") <= radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            near = written(near, "knn-near")
+            full = near.groupBy("q_uri").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n)).select("q_uri")
+            done = near if radius >= most else near.join(full, "q_uri", "left_semi")
+            out = done if out is None else out.unionByName(done)
+            if radius >= most:
+                break
+            rest = written(left.join(full.withColumnRenamed("q_uri", "uri"), "uri", "left_anti"), "knn-left")
+            discard(left)
+            left = rest
+            if left.isEmpty():
+                break
+            radius = min(most, 2 * radius)
+    kinds = {"q_uri": queries, "rank": None, "p_uri": points, "distance": None}
+    types = {c: ("int" if c == "rank" else "double") if df is None else df.schema["uri"].dataType for c, df in kinds.items()}
+    if out is None:
+        return queries.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in types.items()])
+    return out.select("q_uri", "rank", "p_uri", "distance")
+
+
+def interval_join(left: DataFrame, right: DataFrame, bucket: float | None = None) -> DataFrame:
+    """Pairs of uri, t_begin, t_end rows whose times overlap, bounds included, by buckets on levels as boxes are.
+
+    A null bound is open: such an interval reaches as far as any time of either table.  Columns of left are prefixed with l_, those of right with r_.
     """
-    square = lambda df: df.select("uri", "x", "y", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
-    n, extent = points.count(), points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    left, right = square(queries), square(points)
-    out, radius = None, start
-    if not n:
-        return queries.select(F.col("uri").alias("q_uri"), F.lit(1).alias("rank"), F.col("uri").alias("p_uri"), F.lit(0.0).alias("distance")).limit(0)
-    w = Window.partitionBy("q_uri").orderBy("distance", "p_uri")
-    for _ in range(most_rounds):
-        dx, dy = F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y")
-        near = box_join(left, right, margin=radius, cell=2 * radius).select(F.col("l_uri").alias("q_uri"), F.col("r_uri").alias("p_uri"), F.sqrt(dx * dx + dy * dy).alias("distance"))
-        near = near.where(F.col("distance") <= radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = near.groupBy("q_uri").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n)).select("q_uri")
-        done = near.join(full, "q_uri", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(full.withColumnRenamed("q_uri", "uri"), "uri", "left_anti")
-        if not left.limit(1).count():
-            return out
-        radius *= 2
-    raise ValueError("queries too far from any point for this many rounds; start with a larger radius")
-
-
-def interval_join(left: DataFrame, right: DataFrame, bucket: float) -> DataFrame:
-    """Pairs of uri, t_begin, t_end rows whose times overlap, bounds included, by buckets; each comes out in the bucket of the later begin."""
-    side = lambda df, p: df.toDF(*[p + c for c in df.columns]).withColumn("_b", F.explode(F.sequence(F.floor(F.col(p + "t_begin") / bucket), F.floor(F.col(p + "t_end") / bucket))))
-    pairs = side(left, "l_").join(side(right, "r_"), "_b")
-    overlap = (F.col("l_t_begin") <= F.col("r_t_end")) & (F.col("l_t_end") >= F.col("r_t_begin"))
-    return pairs.where(overlap & (F.floor(F.greatest("l_t_begin", "r_t_begin") / bucket) == F.col("_b"))).drop("_b")
+    span = [df.agg(F.min(F.least("t_begin", "t_end")), F.max(F.greatest("t_begin", "t_end"))).first() for df in (left, right)]
+    low, high = min((r[0] for r in span if r[0] is not None), default=0.0), max((r[1] for r in span if r[1] is not None), default=0.0)
+
+    def closed(df: DataFrame) -> DataFrame:
+        open_row = F.struct(F.col("t_begin").alias("b"), F.col("t_end").alias("e"))
+        return df.withColumns({"_own": open_row, "t_begin": F.coalesce("t_begin", F.lit(low)), "t_end": F.coalesce("t_end", F.lit(high))}).where("t_begin <= t_end")
+
+    pairs = _joined(closed(left), closed(right), _TIME_AXES, 0.0, bucket)
+    for p in ("l_", "r_"):
+        pairs = pairs.withColumns({p + "t_begin": F.col(p + "_own.b"), p + "t_end": F.col(p + "_own.e")})
+    return pairs.drop("l__own", "r__own")

@@ -1,4 +1,4 @@
-"""Engine options."""
+"""Engine options: operators that take ``options`` use what their own arguments leave open from here."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Options:
-    default_index: str = "space_index"
-    #: Side of a grid cell of a spatial join, in coordinate units; None: the mean side of the smaller boxes.
+    #: Name of the index that mutations and reads mean when they name none.
+    default_index: str = "default"
+    #: Side of a grid cell, in coordinate units; None: as the data say (joins), 1 (stored tables).
     cell_size: float | None = None
     #: Seconds of a bucket of a space-time index.
     bucket_size: float = 86400.0
@@ -16,13 +17,12 @@ class Options:
     distance_function: str = "pythagorean"
     #: Rows of one file of a stored index.
     target_rows_per_file: int = 1_000_000
-    storage: str = "memory"
 
     def set(self, **values: object) -> Options:
         if unknown := sorted(set(values) - {f.name for f in fields(self)}):
             raise ValueError(f"unknown options: {unknown}")
         if (d := values.get("distance_function", self.distance_function)) not in ("pythagorean", "haversine"):
             raise ValueError(f"distance_function {d!r}")
-        if (s := values.get("storage", self.storage)) not in ("memory", "disk"):
-            raise ValueError(f"storage {s!r}")
+        if bad := sorted(k for k in ("cell_size", "bucket_size", "target_rows_per_file") if values.get(k) is not None and not values[k] > 0):
+            raise ValueError(f"not positive: {bad}")
         return replace(self, **values)

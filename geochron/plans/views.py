@@ -78,3 +78,19 @@ def mutation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, LINKS.replace("(select count(*) from customer)", str(spark.read.parquet(f"{sf_dir}/customer.parquet").count())))
+
+
+def lasting(engine: dict) -> str:
+    """Features in space that last up to three days, so that they are in several buckets."""
+    return f"select uri, t_begin, t_begin + 43200*(uri%7) as t_end, x, y from ({spacetime(engine)}) s"
+
+
+def lasting_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, lasting(SPARK))
+    return rows.select("uri", "t_begin", "t_end", types.point(F.col("x"), F.col("y")).alias("shape"), F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
+
+
+def polygon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as polygons."""
+    rows = geo_boxes(spark, sf_dir)
+    return rows.select("uri", types.make("polygon", F.array(types.box_ring(*map(F.col, ("minx", "miny", "maxx", "maxy"))))).alias("shape"), "minx", "miny", "maxx", "maxy")

@@ -5,25 +5,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
 
-KML_NAME, KML_DESCRIPTION = "http://www.opengis.net/kml/2.2#name", "http://www.opengis.net/kml/2.2#description"
+# The names of KML's properties in triples, and of its vocabulary.
+KML = "http://www.opengis.net/kml/2.2"
+KML_NAME, KML_DESCRIPTION = KML + "#name", KML + "#description"
+
+_MARK = r"(?s)(<(?:\w+:)?Placemark\b.*?</(?:\w+:)?Placemark>)"
+
+
+def _text(tag: str) -> Column:
+    """The text of a placemark's element: CDATA as it stands, else without XML's escapes."""
+    raw = F.regexp_extract("mark", rf"(?s)<(?:\w+:)?{tag}>(.*?)</(?:\w+:)?{tag}>", 1)
+    plain = F.regexp_extract(raw, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", 1)
+    return F.nullif(F.trim(F.when(raw.contains("<![CDATA["), plain).otherwise(codecs.xml_unescaped(raw))), F.lit(""))
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """uri, shape, name, description, source of every geometry in the files' placemarks, at any depth.
+    """uri, shape, name, description, attributes, content, source of every geometry in the files, in placemarks and outside of them, at any depth.
 
-    The uri is the geometry's id, else the first http:// address in the description, else a hash of the placemark.
+    The uri is the geometry's own id; without one it is the first http:// address in the description, else a hash of the placemark and of the
+    geometry's place in it (so geometries that share an address share a uri, as its shapes).  A file is one row while it is read.
     """
-    marks = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("source"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<(?:\w+:)?Placemark\b.*?</(?:\w+:)?Placemark>)"), F.lit(1))).alias("mark"))
-    text = lambda tag: F.nullif(F.trim(F.regexp_extract("mark", rf"(?s)<(?:\w+:)?{tag}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</(?:\w+:)?{tag}>", 1)), F.lit(""))
-    rows = marks.select("source", "mark", text("name").alias("name"), text("description").alias("description"), F.explode(codecs.kml_shapes(F.col("mark"))).alias("shape"))
+    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("source"), codecs.without_comments(F.col("value")).alias("value"))
+    rest = F.array(F.regexp_replace("value", _MARK, ""))
+    marks = files.select("source", F.explode(F.concat(F.regexp_extract_all("value", F.lit(_MARK), F.lit(1)), rest)).alias("mark"))
+    in_mark = F.col("mark").rlike(r"^<(?:\w+:)?Placemark\b")
+    rows = marks.select("source", "mark", *[F.when(in_mark, _text(t)).alias(t) for t in ("name", "description")], F.posexplode(codecs.kml_geometries(F.col("mark"))).alias("at", "g"))
     address = F.nullif(F.regexp_extract("description", r"(http://[^\s\"'<]+)", 1), F.lit(""))
-    uri = F.coalesce(codecs.kml_uri(F.col("mark")), address, F.concat(F.lit("_:"), F.sha2("mark", 256)))
-    return rows.select(uri.alias("uri"), "shape", "name", "description", "source")
+    own = F.concat(F.lit("_:"), F.sha2(F.concat_ws("#", "source", "mark", F.col("at").cast("string")), 256))
+    return rows.select(F.coalesce("g.uri", address, own).alias("uri"), "g.shape", "name", "description", "g.attributes", "g.content", "source")
 
 
 def placemarks(shapes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -35,14 +49,15 @@ def placemarks(shapes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             rows = rows.drop(name).join(one, "uri", "left")
         elif name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    ident = F.concat(F.lit('id="'), codecs.xml_escaped(F.col("uri").cast("string")), F.lit('"'))
+    ident = F.concat(F.lit('id="'), F.replace(codecs.xml_escaped(F.col("uri").cast("string")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
     mark = codecs.placemark(codecs.shape_kml(F.col("shape"), ident), F.col("name"), F.col("description"))
     return rows.select("uri", mark.alias("value")).where("value is not null")
 
 
 def write_kml(shapes: DataFrame, path: str, name: str | None = None, labels: DataFrame | None = None) -> None:
     """One KML document a part file: header, placemarks, footer.  No file needs the rows of another."""
-    top = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n' + (f"<name>{name}</name>\n" if name else "")
+    shown = "" if name is None else "<name>" + name.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") + "</name>\n"
+    top = f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="{KML}">\n<Document>\n{shown}'
     bottom = "\n</Document>\n</kml>\n"
 
     def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +70,10 @@ def write_kml(shapes: DataFrame, path: str, name: str | None = None, labels: Dat
 
 
 def kml_to_georss(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o triples of the shapes of KML files."""
-    return georss_triples(read_kml(spark, path))
+    """s, p, o triples of the shapes of KML files, and of the names and descriptions they have."""
+    rows = read_kml(spark, path)
+    label = lambda p, c: rows.where(F.col(c).isNotNull()).select(F.col("uri").alias("s"), F.lit(p).alias("p"), F.col(c).alias("o")).distinct()
+    return georss_triples(rows).unionByName(label(KML_NAME, "name")).unionByName(label(KML_DESCRIPTION, "description"))
 
 
 def georss_triples(shapes: DataFrame) -> DataFrame:
@@ -65,7 +82,8 @@ def georss_triples(shapes: DataFrame) -> DataFrame:
 
 
 def georss_to_kml(triples: DataFrame, path: str, graph: str | None = None) -> None:
+    """All GeoRSS shapes, or those of a graph, with the names and descriptions that the same graph (all of them) gives."""
     from .triples import georss
 
-    found = georss(triples if graph is None else triples.where(F.col("graph") == graph))
-    write_kml(found, path, labels=triples)
+    rows = triples if graph is None else triples.where(F.col("graph") == graph)
+    write_kml(georss(rows), path, labels=rows)

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.timeops import parse_timestamp
+from ..storage import written
 from ..types import SHAPE_T, make, point, xyz
 
 # The vocabularies' names.
@@ -24,6 +25,7 @@ FOAF_BASED_NEAR = "http://xmlns.com/foaf/0.1/based_near"
 SEM = "http://semanticweb.cs.vu.nl/2009/11/sem/"
 OWL_TIME = "http://www.w3.org/2006/time#"
 SUB_PROPERTY = "http://www.w3.org/2000/01/rdf-schema#subPropertyOf"
+DBPEDIA_COORDINATES, DBPEDIA_BELOW = DBPEDIA + "coordinateProperty", DBPEDIA + "co_percent_e3_percent_b6rdinatenProperty"
 LINKS = ("http://www.w3.org/2002/07/owl#sameAs", "http://www.w3.org/2004/02/skos/core#exactMatch", "http://www.w3.org/2004/02/skos/core#closeMatch")
 
 Source = Callable[[DataFrame], DataFrame]
@@ -34,17 +36,26 @@ def _shapes(df: DataFrame) -> DataFrame:
 
 
 def wgs84(triples: DataFrame) -> DataFrame:
-    """lat and long of a subject in one graph make a point, with alt one of three dimensions.
+    """lat and long of a subject in one graph make a point, with alt of the same graph one of three dimensions.
 
-    One aggregation instead of joins; a subject with several values gives every combination.
+    A subject that has an alt in any graph has no point of two dimensions.  One aggregation instead of joins; a subject with several values gives every combination.
     """
     def pick(name: str):
         return F.collect_set(F.when(F.col("p") == WGS84 + name, F.col("o").try_cast("double"))).alias(name)
 
     rows = triples.where(F.col("p").isin(*(WGS84 + n for n in ("lat", "long", "alt")))).groupBy("s", "graph").agg(pick("lat"), pick("long"), pick("alt"))
-    rows = rows.withColumn("lat", F.explode("lat")).withColumn("long", F.explode("long")).withColumn("alt", F.explode_outer("alt"))
+    high = F.max(F.size("alt") > 0).over(Window.partitionBy("s"))
+    rows = rows.withColumn("high", high).withColumn("lat", F.explode("lat")).withColumn("long", F.explode("long")).withColumn("alt", F.explode_outer("alt"))
     flat = make("point", F.array(F.array(xyz(F.col("lat"), F.col("long"), F.col("alt")))), F.when(F.col("alt").isNull(), 2).otherwise(3))
-    return _shapes(rows.withColumn("shape", flat))
+    return _shapes(rows.where("not high or alt is not null").withColumn("shape", flat))
+
+
+def wgs84_value(triples: DataFrame, name: str) -> DataFrame:
+    """uri, value, source of one of lat, long and alt."""
+    if name not in ("lat", "long", "alt"):
+        raise ValueError(name)
+    rows = triples.where(F.col("p") == WGS84 + name)
+    return rows.select(F.col("s").alias("uri"), F.col("o").try_cast("double").alias("value"), F.col("graph").alias("source")).where("value is not null")
 
 
 def georss_simple(triples: DataFrame) -> DataFrame:
@@ -69,15 +80,29 @@ def freebase(triples: DataFrame) -> DataFrame:
     return _shapes(rows.withColumn("shape", point(F.col("latitude"), F.col("longitude"))))
 
 
+def sub_properties(triples: DataFrame, top: str, known: tuple[str, ...] = (), most: int = 32) -> DataFrame:
+    """p: the property itself, those known to be below it, and those that triples put below any of these, level by level.
+
+    Properties are the vocabulary's, not the data's, so levels are few; more than ``most`` of them raise.
+    """
+    below = triples.where(F.col("p") == SUB_PROPERTY).select(F.col("s").alias("p"), F.col("o").alias("up")).distinct()
+    found = triples.sparkSession.createDataFrame([(p,) for p in (top, *known)], "p string")
+    if below.isEmpty():
+        return found
+    below, found = written(below, "properties"), written(found, "properties")
+    for _ in range(most):
+        more = written(found.union(below.join(found.withColumnRenamed("p", "up"), "up", "left_semi").select("p")).distinct(), "properties")
+        if more.count() == found.count():
+            return found
+        found = more
+    raise ValueError(f"more than {most} levels of properties below {top}")
 
 
 def dbpedia(triples: DataFrame) -> DataFrame:
     """Dutch literals of degrees, minutes and seconds, of the coordinate property and those below it."""
     pattern = r"^(\d+)_(\d+)_(\d+)_([NSZ])_(\d+)_(\d+)_(\d+)_([EOW])_type:"
-    top = DBPEDIA + "coordinateProperty"
-    below = triples.where((F.col("p") == SUB_PROPERTY) & (F.col("o") == top)).select(F.col("s").alias("p")).distinct()
-    own = triples.sparkSession.createDataFrame([(top,), (DBPEDIA + "co_percent_e3_percent_b6rdinatenProperty",)], "p string")
-    rows = triples.where((F.col("o_lang") == "nl") & F.col("o").rlike(pattern)).join(below.union(own).distinct(), "p", "left_semi")
+    rows = triples.where((F.col("o_lang") == "nl") & F.col("o").rlike(pattern))
+    rows = rows.join(sub_properties(triples, DBPEDIA_COORDINATES, (DBPEDIA_BELOW,)), "p", "left_semi")
     part = lambda i: F.regexp_extract("o", pattern, i)
     angle = lambda i: part(i).cast("double") + part(i + 1).cast("double") / 60 + part(i + 2).cast("double") / 3600
     lat = F.when(part(4) == "N", 1.0).otherwise(-1.0) * angle(1)
@@ -104,11 +129,17 @@ def uri_shape(index: DataFrame, found: DataFrame) -> DataFrame:
     return index.select("uri", "shape", F.lit(None).cast("string").alias("source")).unionByName(rest)
 
 
+def shapes_of_graph(index: DataFrame, found: DataFrame, graph: str) -> DataFrame:
+    """graph, uri, shape: what uri_shape gives of one source."""
+    return uri_shape(index, found).where(F.col("source") == graph).select(F.col("source").alias("graph"), "uri", "shape")
+
+
 def time_candidates(triples: DataFrame) -> DataFrame:
-    """uri, begin, end (literals, null if open), source."""
+    """uri, begin, end (literals, null if open), source.  A subject with several begins or ends in a graph gives every combination."""
     rows = triples.where(F.col("p").isin(SEM + "hasBeginTimeStamp", SEM + "hasEndTimeStamp"))
-    side = lambda name: F.min(F.when(F.col("p") == SEM + name, F.col("o")))
-    pairs = rows.groupBy("s", "graph").agg(side("hasBeginTimeStamp").alias("begin"), side("hasEndTimeStamp").alias("end"))
+    side = lambda name: F.collect_set(F.when(F.col("p") == SEM + name, F.col("o"))).alias(name)
+    pairs = rows.groupBy("s", "graph").agg(side("hasBeginTimeStamp"), side("hasEndTimeStamp"))
+    pairs = pairs.withColumn("begin", F.explode_outer("hasBeginTimeStamp")).withColumn("end", F.explode_outer("hasEndTimeStamp"))
     points = triples.where(F.col("p").isin(SEM + "hasTimeStamp", OWL_TIME + "inXSDDateTime"))
     every = pairs.select("s", "begin", "end", "graph").union(points.select("s", F.col("o").alias("begin"), F.col("o").alias("end"), "graph"))
     return every.select(F.col("s").alias("uri"), "begin", "end", F.col("graph").alias("source"))

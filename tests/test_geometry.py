@@ -29,11 +29,11 @@ POINTS = {"P1": (52.4389, 3.07118), "P2": (52.3983, 3.13086), "P3": (52.3254, 3.
 def test_chart_contains_and_order(spark):
     rows = spark.createDataFrame([(k, *v) for k, v in POINTS.items()], "uri string, x double, y double")
     features = rows.select("uri", t.point(F.col("x"), F.col("y")).alias("shape"))
-    inside = q.space_contains(features, q.Query.polygon(MAAS_4))
+    inside = q.contains(features, q.Query.polygon(MAAS_4))
     assert {r["uri"] for r in inside.collect()} == {"P1", "P2"}
-    near = q.space_nearest_bounded(features, q.Query.polygon(DEEP)).collect()
+    near = q.nearest_bounded(features, q.Query.polygon(DEEP)).collect()
     assert [(r["uri"], round(r["distance_km"], 3)) for r in near] == [("P2", 66.347), ("P1", 72.657), ("P3", 74.459)]
-    assert q.space_nearest_bounded(features, q.Query.polygon(DEEP), 73.0).count() == 2
+    assert q.nearest_bounded(features, q.Query.polygon(DEEP), 73.0).count() == 2
     # One vertex in common is enough.
     assert value(spark, kernel.intersects(t.polygon(MAAS_4), t.polygon(ANCHORAGE)))
 
@@ -214,7 +214,7 @@ def test_joins_plan_without_nested_loops(spark):
 def test_stored_index_prunes(spark, tmp_path):
     rows = spark.range(1000).selectExpr("id as uri", "cast(id as double) as x").select("uri", t.point(F.col("x"), F.col("x")).alias("shape"))
     q.store(rows, str(tmp_path / "f"), 100.0)
-    df = q.space_intersects(spark.read.parquet(str(tmp_path / "f")), q.Query.box(10, 10, 12, 12))
+    df = q.intersects(spark.read.parquet(str(tmp_path / "f")), q.Query.box(10, 10, 12, 12))
     assert sorted(r["uri"] for r in df.collect()) == [10, 11, 12]
     assert "PushedFilters: [IsNotNull(" in df._jdf.queryExecution().executedPlan().toString()
 
