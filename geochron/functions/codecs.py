@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import SHAPE_T, box, circle, let, make, mbr, xyz
+from ..types import SHAPE_T, box, circle, let, make, mbr, once, xyz
 
 GEORSS = "http://www.georss.org/georss/"
 
@@ -82,6 +82,7 @@ def _parsed(kind: Column, body: Column) -> Column:
     return F.when(known & (body == "EMPTY"), F.array().cast(f"array<{SHAPE_T}>")).when(known & balanced & body.contains("("), found)
 
 
+@once
 def wkt_shapes(text: Column) -> Column:
     """The shapes of a WKT text: one, the parts of a multi-geometry or collection (none if EMPTY), or null if it isn't WKT."""
     body = F.regexp_extract(text, r"^\s*GEOMETRYCOLLECTION\s*\((.*)\)\s*$", 1)
@@ -100,6 +101,7 @@ def _join(points: Column, between: str, inside: str) -> Column:
     return F.array_join(F.transform(points, lambda p: F.concat_ws(inside, number_text(p["x"]), number_text(p["y"]), number_text(p["z"]))), between)
 
 
+@once
 def shape_wkt(shape: Column) -> Column:
     """Boxes are written as polygons; circles have no WKT and give null."""
     rings = F.array_join(F.transform(shape["rings"], lambda r: F.concat(F.lit("("), _join(r, ",", " "), F.lit(")"))), ",")
@@ -140,6 +142,7 @@ def _xml_all(xml: Column, pattern: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(pattern), F.lit(1))
 
 
+@once
 def gml_shape(gml: Column) -> Column:
     """Point/pos, LineString/posList, Polygon with exterior and interiors, and Envelope; any prefix; null for anything else.
 
@@ -160,6 +163,7 @@ def gml_shape(gml: Column) -> Column:
     )
 
 
+@once
 def shape_gml(shape: Column) -> Column:
     flat = lambda r: _join(r, " ", " ")
     ring = lambda r, side: F.concat(F.lit(f"<gml:{side}><gml:LinearRing><gml:posList>"), flat(r), F.lit(f"</gml:posList></gml:LinearRing></gml:{side}>"))
@@ -195,6 +199,7 @@ def without_comments(xml: Column) -> Column:
     return F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
 
 
+@once
 def kml_geometries(kml: Column) -> Column:
     """The geometry elements anywhere in the text, in its order: uri (the element's id), shape, attributes of its tag, and content,
     the elements in it that don't belong to the shape.  Rings that stand alone are linestrings.  Null if one of them can't be read.

@@ -13,7 +13,7 @@ from ..operators import closure, mutations, spacetime, spatial_join, timeindex
 from ..operators import query as q
 from ..options import Options
 from ..sources import kml_files, triples
-from ..storage import new_path
+from ..storage import new_path, written
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,7 +233,7 @@ def kernel_distance(spark, sf):
 # Two boxes touch if their closed ranges meet but their open ones don't.
 @query(f"select uri from {_B} where minx <= 52 and maxx >= 51 and miny <= 4 and maxy >= 3 and not (minx < 52 and maxx > 51 and miny < 4 and maxy > 3)")
 def touches_box(spark, sf):
-    return v.box_features(spark, sf).where(kernel.touches(types.box(51.0, 3.0, 52.0, 4.0), F.col("shape"))).select("uri")
+    return v.box_features(spark, sf).where(kernel.touches(types.box(51.0, 3.0, 52.0, 4.0), F.col("shape"), ("box",), ("box",))).select("uri")
 
 
 @query(f"select uri, cast(2 as integer) as dim, uri % 5 <> 0 as ok from {_P} where uri % 5 <> 0 union all select uri, null, false from {_P} where uri % 5 = 0")
@@ -658,7 +658,7 @@ def spacetime_indices(spark, sf):
 
 @query(f"select uri, unnest(list_transform(range(0, greatest(cast(ceil((t_end+864000-t_begin)/864000) as bigint), 1)), lambda i: floor((t_begin+i*864000)/864000)*{_d(864000.0)})) as bucket from {_T}")
 def buckets_stepping(spark, sf):
-    return v.intervals(spark, sf).select("uri", F.explode(spacetime.buckets_stepping(F.col("t_begin"), F.col("t_end"), 864000.0)).cast("double").alias("bucket"))
+    return v.intervals(spark, sf).select("uri", F.explode(spacetime.buckets_stepping(F.col("t_begin"), F.col("t_end"), 864000.0)).alias("bucket")).withColumn("bucket", F.col("bucket").cast("double"))
 
 
 # As-of joins
@@ -833,24 +833,24 @@ _FROM_2 = "(2, 5, 6, 11, 12, 13, 14, 23, 24)"
 
 @query(f"select cast(uri as varchar) as uri, minx as x from {_B} where uri % 25 = 4")
 def load_source(spark, sf):
-    return mutations.indexed(closure.load(_linked(spark, sf), "http://example.org/g4", 1)).select("uri", F.col("shape")["rings"][0][0]["x"].alias("x"))
+    return mutations.indexed(written(closure.load(_linked(spark, sf), "http://example.org/g4", 1), "log")).select("uri", F.col("shape")["rings"][0][0]["x"].alias("x"))
 
 
 @query(f"select cast(uri as varchar) as uri from {_B} where uri % 25 in {_FROM_2}")
 def crawl_source(spark, sf):
-    return mutations.indexed(closure.crawl(_linked(spark, sf), _start(spark, 2), 1)).select("uri")
+    return mutations.indexed(written(closure.crawl(_linked(spark, sf), _start(spark, 2), 1), "log")).select("uri")
 
 
 @query(f"select cast(uri as varchar) as uri from {_B} where uri % 25 not in {_FROM_2} and uri % 25 <> 4")
 def uncrawl_source(spark, sf):
-    t = _linked(spark, sf)
+    t = written(_linked(spark, sf), "triples")
     log = mutations.index_all(t, 1).unionByName(closure.uncrawl(t, _start(spark, 2), 2)).unionByName(closure.unload(t, "http://example.org/g4", 3))
-    return mutations.indexed(log).select("uri")
+    return mutations.indexed(written(log, "log")).select("uri")
 
 
 @query(f"select cast(uri as varchar) as uri, minx as x from {_B} where uri = 8")
 def index_uri_shape(spark, sf):
-    return mutations.uri_shapes(mutations.index_all(_mixed_triples(spark, sf), 1, more=_WKT), "8").select("uri", F.col("shape")["rings"][0][0]["x"].alias("x"))
+    return mutations.uri_shapes(written(mutations.index_all(_mixed_triples(spark, sf), 1, more=_WKT), "log"), "8").select("uri", F.col("shape")["rings"][0][0]["x"].alias("x"))
 
 
 # KML files and other texts

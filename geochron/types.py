@@ -9,7 +9,9 @@ compared.  A multi-geometry is an array of shapes, true of whatever one of its p
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: use(v))[0]
 
 
+def once(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """f, whose plan is put together once an application and then applied to other columns as it is: large ones take seconds to build."""
+    kept: dict[str, object] = {}
+
+    @wraps(f)
+    def g(value: Column) -> Column:
+        from pyspark.sql.functions.builtin import _create_lambda
+
+        app = SparkContext.getOrCreate().applicationId
+        if app not in kept:
+            kept.clear()
+            kept[app] = Column(_create_lambda(lambda v: f(v)))
+        return F.get(F.call_function("transform", F.array(value), kept[app]), F.lit(0))
+
+    return g
+
+
 def xyz(x: Number, y: Number, z: Number | None = None) -> Column:
     z = F.lit(None) if z is None else col(z)
     return F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"), z.cast("double").alias("z"))
@@ -95,6 +114,7 @@ def centre(shape: Column) -> Column:
     return xyz((m["minx"] + m["maxx"]) / 2, (m["miny"] + m["maxy"]) / 2)
 
 
+@once
 def is_shape(shape: Column) -> Column:
     """Ground and well formed: a known kind, 1 to 3 dimensions, no null coordinate, rings of the length the kind needs, polygons closed."""
     n0 = F.size(shape["rings"][0])
