@@ -1,20 +1,22 @@
 """Exact top-k by inner product: tiled matrix products and a tree merge.
 
-Queries are cut into blocks of at most ``block_rows``, so what is broadcast at once
-is bounded by block_rows * dimensions numbers whatever the table's size.  For each
-block every task multiplies the block with tiles of its shard and keeps the best k of
-a tile by partial selection, merging into a running list per query; the lists of the
-tasks are then merged in two levels, first within groups of tasks, then overall.
+Both sides are packed where they stand: vectors into tiles and queries into blocks, of at most ``tile_rows`` and ``block_rows`` rows of one
+length, each a row of binary columns.  Tiles are dealt to shards; every block goes to every shard, by an equi-join on the shard, so a pair of
+block and tile is a row, nothing is collected or broadcast by hand, and no task holds more than a shard's tiles (which Spark spills) and the lists of ``HELD``
+blocks.  A pair gives a matrix product, of which each query's best k are selected in part and merged into its running list; the lists of
+the tasks are then merged in two levels, first within groups of shards, then overall.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components
 take no part, as query or candidate; vectors of another length than the query's give
 no score; equal scores go to the smaller vec_id; a query with fewer candidates returns
 all; rows that repeat a vec_id are candidates each, and none is a candidate of its own
-id; an empty table gives no rows; other columns aren't read.
+id; an empty table gives no rows; other columns aren't read.  Components whose scaled value, and products whose score, is beyond 2 ** 62 in size
+raise: a score is a 64-bit integer, and none is wrapped or rounded.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
+#: No component, and no score, may be as large as this.
+LARGEST = 1 << 62
+#: Blocks of queries whose lists a task holds at once.
+HELD = 64
 _PARTIAL = "query_id long, vec_id long, score long, part int"
 
 
@@ -31,7 +37,8 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and q, the vector of floor(scale * x); only vectors all of whose components are finite."""
     x = F.col("embedding")
     fit = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(fit & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("q"))
+    whole = lambda v: F.when(F.abs(v.cast("double") * scale) < LARGEST, F.floor(v.cast("double") * scale)).otherwise(F.raise_error(F.lit("a component is too large for integer scores")))
+    return vectors.where(fit & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, whole).alias("q"))
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,12 +51,55 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[at], flat[start[at, None] + np.arange(n)]
 
 
+_PACKED = pa.schema([("number", pa.int64()), ("width", pa.int32()), ("small", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())])
+
+
+def packed(vectors: DataFrame, rows: int) -> DataFrame:
+    """number (of its own, by its content), width, small (32-bit components), ids, data: at most ``rows`` vectors of one length in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out(width: int, least: int) -> Iterator[pa.RecordBatch]:
+            ids, data = (np.concatenate(c) for c in zip(*held.pop(width)))
+            lo = 0
+            while len(ids) - lo >= least:
+                i, d = ids[lo : lo + rows], data[lo : lo + rows]
+                small = bool(np.abs(d).max(initial=0) < 2**31)
+                bytes_ = np.ascontiguousarray(d, np.int32 if small else np.int64).tobytes()
+                number = int.from_bytes(hashlib.blake2b(i.tobytes() + bytes_, digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_pylist([{"number": number, "width": width, "small": small, "ids": i.astype(np.int64).tobytes(), "data": bytes_}], schema=_PACKED)
+                lo += rows
+            if lo < len(ids):
+                held[width] = [(ids[lo:], data[lo:])]
+
+        for batch in batches:
+            for ids, m in _matrices(batch):
+                held.setdefault(m.shape[1], []).append((ids, m))
+                if sum(len(i) for i, _ in held[m.shape[1]]) >= rows:
+                    yield from out(m.shape[1], rows)
+        for width in list(held):
+            yield from out(width, 1)
+
+    return vectors.select("vec_id", "q").mapInArrow(run, "number long, width int, small boolean, ids binary, data binary")
+
+
+def _matrix(width: int, small: bool, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if small else np.int64).reshape(-1, width)
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by float64, which is fast and exact below 2**53, else by int64."""
+    """Exact integer products: by floats, which are fast, where they are exact, else by int64."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    for kind, exact in ((np.float32, 2**24), (np.float64, 2**53)):
+        if most < exact:
+            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    if most < LARGEST:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = a.astype(object) @ b.astype(object).T
+    if np.abs(whole).max() >= LARGEST:
+        raise OverflowError("a score is beyond 2 ** 62")
+    return whole.astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,47 +116,46 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 #: Below any score, and safe to negate.
-_NONE = -(1 << 62)
+_NONE = -(1 << 62) - 1
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, tile_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, tile_rows: int = 4096, shard_rows: int = 1 << 18) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best rows of vectors.
 
-    vectors and queries: vec_id and q as quantised() gives them.
+    vectors and queries: vec_id and q as quantised() gives them.  A shard has about ``shard_rows`` vectors.
     """
     spark = vectors.sparkSession
-    tag = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // (block_rows // 2)))))
-    blocks = queries.withColumn("block", tag)
-    partial = None
-    for b in range(max(1, -(-queries.count() // (block_rows // 2)))):
-        rows = blocks.where(F.col("block") == b).select("vec_id", "q").toArrow().combine_chunks().to_batches()
-        held = spark.sparkContext.broadcast([m for r in rows for m in _matrices(r)])
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for ids, m in _matrices(batch):
-                    for i, (qids, qm) in enumerate(held.value):
-                        if qm.shape[1] != m.shape[1]:
-                            continue
-                        for lo in range(0, len(ids), tile_rows):
-                            tile = ids[lo : lo + tile_rows]
-                            scores = _product(qm, m[lo : lo + tile_rows])
-                            scores[qids[:, None] == tile[None, :]] = _NONE
-                            s, v = best(scores, tile, k)
-                            if i in lists:
-                                s, v = best(np.hstack([lists[i][0], s]), np.hstack([lists[i][1], v]), k)
-                            lists[i] = s, v
-            for i, (s, v) in lists.items():
-                real = s != _NONE
-                q = np.repeat(held.value[i][0], real.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v[real]), pa.array(s[real]), pa.array(np.full(len(q), part, np.int32))], ["query_id", "vec_id", "score", "part"])
+    shards = max(1, spark.sparkContext.defaultParallelism, -(-vectors.count() // shard_rows))
+    tiles = packed(vectors, tile_rows).withColumn("shard", F.pmod("number", F.lit(shards)).cast("int"))
+    blocks = packed(queries, block_rows).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = tiles.toDF("number", "width", "t_small", "t_ids", "t_data", "shard").drop("number")
+    pairs = blocks.join(right, ["shard", "width"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[tuple[int, int, int], list[np.ndarray]] = {}
 
-        found = vectors.select("vec_id", "q").mapInArrow(search, _PARTIAL)
-        partial = found if partial is None else partial.unionAll(found)
+        def out() -> Iterator[pa.RecordBatch]:
+            for (shard, _, _), (ids, s, v) in lists.items():
+                real = s != _NONE
+                q = np.repeat(ids, real.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v[real]), pa.array(s[real]), pa.array(np.full(len(q), shard, np.int32))], ["query_id", "vec_id", "score", "part"])
+            lists.clear()
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, tile = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["t_ids"], np.int64)
+                scores = _product(_matrix(r["width"], r["small"], r["data"]), _matrix(r["width"], r["t_small"], r["t_data"]))
+                scores[ids[:, None] == tile[None, :]] = _NONE
+                s, v = best(scores, tile, k)
+                key = r["shard"], r["number"], r["width"]
+                if key in lists:
+                    s, v = best(np.hstack([lists[key][1], s]), np.hstack([lists[key][2], v]), k)
+                elif len(lists) >= HELD:
+                    yield from out()
+                lists[key] = [ids, s, v]
+        yield from out()
+
+    partial = pairs.select("shard", "number", "width", "small", "ids", "data", "t_small", "t_ids", "t_data").mapInArrow(search, _PARTIAL)
     order = [F.col("score").desc(), F.col("vec_id")]
     group = F.floor(F.sqrt(F.col("part").cast("double")))
     level = partial.withColumn("part", group).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(order))).where(F.col("rank") <= k)
