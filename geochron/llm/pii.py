@@ -33,35 +33,60 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 SECRET = r"(?<![A-Za-z0-9_])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{16,}+"
 NATIONAL = r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 PERSON = r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora?|Madame|Monsieur)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
-GIVEN_NAMES = ("anna", "carlos", "claire", "david", "emma", "hans", "james", "john", "jürgen", "luis", "maria", "marie", "mary", "michael", "peter", "pierre", "sarah", "sofia", "thomas")
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "uk", "eu", "io")
+#: Gazetteers.
+GIVEN_NAMES = tuple(
+    """adam agnes alan albert alejandro alexander alfred alice amy ana andrea andreas andrew angela anna anne antoine antonio arthur barbara beatriz ben bernard
+    brian bruno camille carla carlos carmen caroline catherine cecilia charles charlotte christian christine claire claudia daniel david deborah denis diego dieter
+    donald dorothy edward elena elisabeth elizabeth emily emma eric ernst eva felix fernando florian francis francisco franz frederic gabriel george gerhard gloria
+    grace hans harry heinz helen helena henri henry hugo ines ingrid isabel jack jacques james jan jane jean jennifer joan johann john jorge josé joseph juan judith julia
+    jürgen karen karl karin klaus laura léa linda louis louise lucas lucy luis manfred manuel marcel margaret maria marie mario martha martin mary matthias michael miguel
+    monika nancy nicolas nina olga oliver oscar patricia paul paula pedro peter philip pierre rachel rafael renate richard robert rosa ruth sabine samuel sandra sarah
+    simon sofia sophie stefan susan sylvie teresa theresa thomas tim ursula victor werner william wolfgang yves""".split()
+)
+TOP_DOMAINS = tuple("com org net edu gov mil int info biz name pro io ai app dev me tv co us uk de fr es it nl be ch at pt eu se no fi dk pl cz hu ro gr ie ru ua tr cn jp kr in au nz ca mx br ar cl za il".split())
 CUES = {"email": "mail|contact|write", "ip": "ip|address|host|server", "card": "card|visa|credit|pay", "phone": "phone|call|tel|fax|mobile", "secret": "password|passwd|token|secret|key|auth", "person": "name|by|from|dear"}
 AGAINST = "version|isbn|page|chapter|serial"
+#: Characters before a span that its labelers look at, as far back as the match of the same pattern before it.
 CONTEXT = 24
-_SPANS = "array<struct<lo:int,hi:int,m:string>>"
+_SPANS = "array<struct<lo:int,hi:int,m:string,before:string>>"
+#: Elements that one fold of a scan goes through.
+_RUN = 64
 
 
-def spans(text: Column, pattern: str, valid: Callable[[Column], Column] | None = None) -> Column:
-    """Where the pattern matches, as far as valid: what lies between the matches gives their places.
+def running(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of ints: op over all elements before each, and over all up to each, as an array of (before, upto).  op is associative.
 
-    Only valid matches are put into the array, which is copied when it grows: a text full of short numbers costs nothing more.
+    A fold copies its array whenever that grows, so runs of elements are folded by themselves, then their totals, and both put together.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    both = F.zip_with(between, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    n = F.size(values)
+    grown = lambda items: F.aggregate(items, F.array(F.lit(zero)), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
+    firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(firsts, lambda i: grown(F.slice(values, i, F.lit(_RUN))))
+
+    def whole(runs: Column) -> Column:
+        bases = grown(F.transform(runs, lambda r: F.element_at(r, -1)))
+        one = lambda r, b: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda x, y: F.struct(op(b, x).alias("before"), op(b, y).alias("upto")))
+        return F.flatten(F.zip_with(runs, F.slice(bases, F.lit(1), F.size(runs)), one))
 
-    def step(s: Column, x: Column) -> Column:
-        lo = s["at"] + x["gap"]
-        one = F.struct(lo.alias("lo"), (lo + x["len"]).alias("hi"), x["m"].alias("m"))
-        return F.struct((lo + x["len"]).alias("at"), _kept(s["out"], one, x["m"], valid).alias("out"))
+    return _let(runs, whole)
 
-    return F.aggregate(both, start, step, lambda s: s["out"])
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _kept(out: Column, one: Column, m: Column, valid: Callable[[Column], Column] | None) -> Column:
-    more = F.concat(out, F.array(one))
-    return more if valid is None else F.when(valid(m), more).otherwise(out)
+
+def spans(text: Column, pattern: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    """Where the pattern matches, as far as valid: what lies between the matches gives their places, and what stands before them."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    both = F.zip_with(between, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("m"), F.right(p, F.lit(CONTEXT)).alias("before")))
+
+    def placed(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: x["gap"] + x["len"]), 0, lambda a, b: a + b)
+        out = F.zip_with(both, ends, lambda x, e: F.struct((e["upto"] - x["len"]).alias("lo"), e["upto"].alias("hi"), x["m"].alias("m"), x["before"].alias("before")))
+        return out if valid is None else F.filter(out, lambda x: valid(x["m"]))
+
+    return _let(both, placed)
 
 
 def _digits(m: Column) -> Column:
@@ -84,10 +109,10 @@ _VALID = {
 }
 
 
-def _candidate(kind: str, base: bool, text: Column, x: Column) -> Column:
+def _candidate(kind: str, base: bool, x: Column) -> Column:
     """A span with the labelers' votes and its features."""
     m, low = x["m"], F.lower(x["m"])
-    before = F.lower(F.substr(text, F.greatest(x["lo"] - CONTEXT, F.lit(0)) + 1, F.least(x["lo"], F.lit(CONTEXT))))
+    before = F.lower(x["before"])
     vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0).cast("int")
     digits = F.length(_digits(m))
     letters = F.length(F.regexp_replace(m, r"[^\p{L}]", ""))
@@ -116,8 +141,8 @@ def _candidate(kind: str, base: bool, text: Column, x: Column) -> Column:
     )
 
 
-def _voted(found: Column, kind: str, base: bool, text: Column) -> Column:
-    return F.transform(found, lambda x: _candidate(kind, base, text, x))
+def _voted(found: Column, kind: str, base: bool) -> Column:
+    return F.transform(found, lambda x: _candidate(kind, base, x))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -133,7 +158,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"s{i}", F.when(gate, spans(text, pattern, _VALID[kind] if base else None)).otherwise(none))
     cols = []
     for i, (kind, _, base) in enumerate(parts):
-        cols.append(_voted(F.col(f"s{i}"), kind, base, text))
+        cols.append(_voted(F.col(f"s{i}"), kind, base))
     return rows.select("doc_id", F.concat(*cols).alias("spans"))
 
 
@@ -200,11 +225,18 @@ def found(docs: DataFrame) -> DataFrame:
         names += [F.concat_ws("/", F.lit(str(i + 1)), s["kind"].cast("string"), s[f].cast("string")) for i, f in enumerate(FEATURES)]
         return sum((F.coalesce(F.element_at(table_of, n), F.lit(0.0)) for n in names), F.lit(0.0))
 
-    base = F.filter("spans", lambda s: s["base"])
-    rows = rows.withColumn("base", base)
-    more = F.filter("spans", lambda s: ~s["base"] & (score(s) >= 0) & ~F.exists("base", lambda b: (b["lo"] < s["hi"]) & (s["lo"] < b["hi"])))
-    every = F.transform(F.concat("base", more), lambda s: F.struct(s["lo"].alias("lo"), s["kind"].alias("kind"), s["hi"].alias("hi"), s["base"].alias("base")))
-    return rows.select("doc_id", F.array_sort(every).alias("spans"))
+    every = F.transform("spans", lambda s: F.struct(s["lo"].alias("lo"), s["kind"].alias("kind"), s["hi"].alias("hi"), s["base"].alias("base"), (s["base"] | (score(s) >= 0)).alias("good")))
+    rows = rows.select("doc_id", F.array_sort(F.filter(every, lambda s: s["good"])).alias("spans"))
+    return rows.select("doc_id", F.transform(_apart(F.col("spans")), lambda s: s.dropFields("good")).alias("spans"))
+
+
+def _apart(spans: Column) -> Column:
+    """The base spans, and the others that overlap none of them.  spans: in order.  Two scans instead of comparing all with all."""
+    far = 1 << 30
+    ends = running(F.transform(spans, lambda s: F.when(s["base"], s["hi"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+    starts = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["lo"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+    free = F.zip_with(spans, F.zip_with(ends, starts, lambda e, s: F.struct(e["before"].alias("end"), s["before"].alias("start"))), lambda s, o: F.struct(s.alias("s"), (s["base"] | ((o["end"] <= s["lo"]) & (o["start"] >= s["hi"]))).alias("ok")))
+    return F.transform(F.filter(free, lambda x: x["ok"]), lambda x: x["s"])
 
 
 def _name(i: int, value: object) -> str:
