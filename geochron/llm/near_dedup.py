@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import free_names, passing_tables, table, written
 from .textbytes import mix64, pieces, row_sums, text_buffer, word_hashes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -44,6 +44,8 @@ RARE = 256
 PIECE, SEGMENT = 1 << 21, 1 << 24
 #: Buckets with more pairs to compare than this are compared block by block.
 PAIRS, BLOCK = 2048, 192
+#: Bytes of weighted sets that a block holds, about: documents may be very long.
+BLOCK_BYTES = 48 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -349,10 +351,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, v and c of each row: hashes of its text and weighted set, and its class."""
+    """doc_id, mark, v and c of each row: hashes of its text and weighted set, and its class.  A table; those on the way to it are deleted."""
+    with passing_tables():
+        return _found_members(docs)
+
+
+def _found_members(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sets = written(weighted(docs).withColumn("v", F.xxhash64("digest_a", "digest_b")), "near-sets")
-    vertex = sets.select("v", "weight", "buckets").dropDuplicates(["v"])
+    vertex = sets.select("v", "weight", "buckets", (2 * F.octet_length("keys")).alias("bytes")).dropDuplicates(["v"])
     bucket = written(vertex.select("v", "weight", F.posexplode("buckets").alias("band", "h")), "near-buckets")
     heads = bucket.groupBy("band", "h").agg(F.min(F.struct("v", "weight")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = written(heads.select("band", "h", F.col("p.v").alias("p"), F.col("p.weight").alias("pw")), "near-heads")
@@ -371,15 +378,16 @@ def _members(docs: DataFrame) -> DataFrame:
     shared = shared.join(sims.toDF("p", "v", "sim"), ["p", "v"], "left")
     ratio = F.least("weight", "pw") / F.greatest("weight", "pw")
     low, high = F.coalesce(1 - F.col("sim"), 1 - ratio), F.coalesce(1 - F.col("sim"), F.lit(1.0))
-    state = shared.withColumns({"low": low, "high": high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(vertex.select("v", "buckets"), "v")
-    state = written(state.select("band", "h", "v", "weight", "c", "low", "high", "buckets", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")), "near-state")
-    size = state.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("r")).where("r > 0")
+    state = shared.withColumns({"low": low, "high": high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(vertex.select("v", "buckets", "bytes"), "v")
+    state = written(state.select("band", "h", "v", "weight", "c", "low", "high", "buckets", "bytes", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")), "near-state")
+    size = state.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("r"), F.sum("bytes").alias("bucket_bytes")).where("r > 0")
     state = state.join(written(size, "near-open"), ["band", "h"])
-    large = state.where(F.col("n") * F.col("r") > PAIRS).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("v"), "blocks"))
+    large = state.where(F.col("n") * F.col("r") > PAIRS).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bucket_bytes") / BLOCK_BYTES))).withColumn("blk", F.pmod(F.xxhash64("v"), "blocks"))
     packed = large.select("band", "h", "blocks", "blk", "v", "c").join(vecs, "v").groupBy("band", "h", "blk").applyInArrow(_pack, "band int, h long, blk long, blocks long, ids binary, comps binary, sizes binary, keys binary, weights binary")
     meet = written(packed, "near-packed").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     joined = written(meet.groupBy("band", "h", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")).applyInArrow(_compare, "a long, b long"), "near-joined")
     state = state.where(F.col("n") * F.col("r") <= PAIRS)
+    state = state.drop("bytes", "bucket_bytes")
     rest = state.where("not linked")
     names = [c for c in state.columns if c not in ("band", "h")]
     others = state.toDF(*[f"u_{c}" if c in names else c for c in state.columns])
@@ -391,7 +399,7 @@ def _members(docs: DataFrame) -> DataFrame:
     more = written(more.select(F.least("v", "u_v").alias("a"), F.greatest("v", "u_v").alias("b")).distinct(), "near-pairs")
     found = similarities(more, vecs).where(F.col("sim") >= SIMILARITY).select("a", "b")
     comp = written(components(spark, edges.union(found).union(joined)), "near-components")
-    return written(sets.select("doc_id", "mark", "v").join(comp, "v", "left").select("doc_id", "mark", "v", F.coalesce("c", "v").alias("c")), "near-classes")
+    return written(sets.select("doc_id", "mark", "v").join(comp, "v", "left").select("doc_id", "mark", "v", F.coalesce("c", "v").alias("c")), "near-classes", keep=True)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -411,7 +419,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id (null first, then by the text's hash), with all its columns and repeats."""
     row = F.struct("doc_id", "mark")
+    ident, hashed = free_names(docs, "_id", "_mark")
     members = _members(docs)
     kept = written(members.groupBy("c").agg(F.min(row).alias("kept")), "near-kept")
-    drop = members.join(kept, "c").where(row != F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti").select(docs.columns)
+    drop = members.join(kept, "c").where(row != F.col("kept")).select(F.col("doc_id").alias(ident), F.col("mark").alias(hashed)).distinct()
+    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(hashed)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
