@@ -4,7 +4,8 @@ A byte goes if a string of WIDTH bytes that covers it also starts in a document
 corpus can't be sorted in one place, so strings are dealt by content: a string belongs to its anchor, the smallest hash of its 26-byte
 grams, hence equal strings to equal anchors.  Neighbouring strings of one anchor make a context, a run of WIDTH to WIDTH + 24 bytes.
 Anchors that two documents share are looked up across the corpus; equal contexts are taken together with the smallest document that has
-them.  Where an anchor has several contexts, these are gathered and their suffixes sorted (see gsaca): suffixes that
+them.  Contexts are told apart by two 64-bit hashes, the anchor and that of all their bytes, across the corpus; by the second alone within a block.
+Where an anchor has several contexts, these are gathered and their suffixes sorted (see gsaca): suffixes that
 agree in WIDTH bytes stand together and tell the smallest document their string starts in.
 
 Documents are handled in blocks of about BLOCK_BYTES; within a block equal anchors and contexts are merged before they are shuffled,
@@ -223,8 +224,9 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
         gram, keys = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("anchors", "keys"))
         owner = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
         block = np.repeat([r["block"] for r in rows], [len(r["keys"]) // 8 for r in rows])
-        order = np.argsort(keys)
-        new = _heads(keys[order])
+        # Equal contexts have equal anchors: both hashes must agree.
+        order = np.lexsort((keys, gram))
+        new = np.flatnonzero(np.append(True, (keys[order][1:] != keys[order][:-1]) | (gram[order][1:] != gram[order][:-1])))
         least = np.empty(len(order), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(owner[order], new), np.diff(np.append(new, len(order))))
         # The smallest document of each context stands for it (each block's, if rows repeat its id).  Contexts of an anchor
