@@ -24,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .shared import fold_of, table
+from .shared import fold_of, free_names, table
 from .textbytes import LOWER, pieces, row_sums, text_buffer
 
-#: Most texts that the classifiers are fitted on.
+#: Most texts that the classifiers are fitted on; whole ones.
 TRAIN_DOCS = 6000
-#: Most bytes of one of those texts; predictions read whole texts.
+#: Bits of an n-gram's hash: a classifier has 2 ** TRAIN_BITS weights.
 TRAIN_BITS = 17
 #: A text is ambiguous if its best language has less than this share.
 CLEAR = 0.5
@@ -45,9 +46,10 @@ def codewords(k: int) -> np.ndarray:
     rng, bits, best, far = np.random.default_rng(7), int(np.ceil(10 * np.log2(k))), None, -1
     for _ in range(50):
         m = np.array([rng.permutation(np.arange(k) % 2) * 2 - 1 for _ in range(bits)], dtype=np.int8).T
-        d = (m[:, None, :] != m[None, :, :]).sum(-1) + bits * np.eye(k, dtype=int) if k <= 400 else np.array([[bits // 3]])
-        if d.min() > far:
-            best, far = m, int(d.min())
+        # Codes of +1 and -1: the product of two is bits - 2 * distance.
+        near = max(int((m[lo : lo + 512].astype(np.float32) @ m.T.astype(np.float32) - 2 * bits * np.eye(min(512, k - lo), k, lo)).max()) for lo in range(0, k, 512))
+        if (bits - near) // 2 > far:
+            best, far = m, (bits - near) // 2
     return best
 
 
@@ -141,7 +143,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """At most about ``most`` texts, as evenly dealt among the languages as they allow, chosen by hash."""
+    """At most ``most`` texts, as evenly dealt among the languages as they allow, chosen by hash."""
     fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in fit_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -150,35 +152,49 @@ def training_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], l
     share = F.create_map([F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
     # The same text gets the same draw, so draws are by text and id.
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = fit_rows.where(draw < share[F.col("lang")]).select("text", "lang").toArrow()
+    drawn = fit_rows.where(draw < share[F.col("lang")]).select("text", "lang", draw.alias("draw"))
+    rows = drawn.orderBy("draw", "text").limit(most).select("text", "lang").toArrow()
     return rows["text"].to_pylist(), rows["lang"].to_pylist()
 
 
-def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous of each document, from its text alone."""
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    schema = "doc_id long, lang_pred string, score double, ambiguous boolean"
+def labelled(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with the language of each text, its score and whether it is ambiguous, from its text alone, in columns called ``names``."""
+    (known,) = free_names(docs, "_has_letter")
+    rows = docs.withColumn(known, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
+        return docs.select("*", *[F.lit(v).alias(n) for v, n in zip((UNKNOWN, 0.0, False), names)])
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** TRAIN_BITS rows by bits, whatever the input
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], BooleanType())])
+    text_at, own = docs.columns.index("text"), list(range(len(docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        names = np.array(model.languages, dtype=object)
+        languages = np.array(model.languages, dtype=object)
         for batch in batches:
-            buf, off = text_buffer(batch["text"])
+            buf, off = text_buffer(batch.column(text_at))
             pick, score = np.zeros(len(batch), int), np.zeros(len(batch))
             for lo, hi, b, o in pieces(buf, off, 1 << 18):
                 pick[lo:hi], score[lo:hi] = model.decide(_means(model.weights, *ngram_features(b, o)))
-            known = np.asarray(batch["has_letter"].to_pylist(), dtype=bool)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.where(known, names[pick], UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & (score < CLEAR))],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
-            )
+            letter = np.asarray(batch.column(len(own)).to_pylist(), dtype=bool)
+            found = [pa.array(np.where(letter, languages[pick], UNKNOWN), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(letter & (score < CLEAR))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *found], [*docs_columns, *names])
 
+    docs_columns = docs.columns
     return rows.mapInArrow(run, schema)
 
 
+def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous of each document."""
+    return labelled(docs.select("doc_id", "text"), model).drop("text")
+
+
+def known_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents whose language is known and clear, in the same pass as they are read: no id decides for another row."""
+    names = tuple(free_names(docs, "_lang_pred", "_score", "_ambiguous"))
+    kept = labelled(docs, model, names).where((F.col(names[0]) != UNKNOWN) & ~F.col(names[2]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def learned(docs: DataFrame) -> Model | None:
     return fit(*training_rows(docs.where(fold_of("doc_id", 4) != 2)))
 
