@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from .textbytes import prefix_hash, span_hash
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pre-tokens kept between batches; beyond that the memory is started anew.
 CACHE_WORDS = 1_000_000
+#: Bytes of a pre-token up to which it is merged in rounds with the others.
+LONG = 8192
 _NO_RANK = np.int64(1) << 60
 
 
@@ -41,7 +44,7 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-_LETTER, _NUMBER, _SPACE = 1, 2, 3
+_LETTER, _NUMBER, _BLANK = 1, 2, 3
 
 
 @functools.cache
@@ -50,16 +53,31 @@ def _kinds() -> np.ndarray:
     kind = np.zeros(0x110000, dtype=np.uint8)
     points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     every = "".join(map(chr, points))
-    for value, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+    for value, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
         for m in regex.finditer(pattern, every):
             kind[[points[i] for i in range(*m.span())]] = value
     return kind
 
 
+def _check(spec: dict) -> None:
+    """Raises on files that ask for more than what is done here, instead of giving other ids than the library."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = {
+        "model": model.get("type", "BPE") != "BPE" or bool(model.get("dropout")) or bool(model.get("byte_fallback")) or bool(model.get("ignore_merges")) or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix")),
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or bool(before.get("add_prefix_space")) or not before.get("use_regex", True),
+        "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "added_tokens": any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") and spec.get("normalizer") for t in spec["added_tokens"]),
+    }
+    if any(odd.values()):
+        raise ValueError(f"not done for byte-level BPE files of this kind: {[k for k, v in odd.items() if v]}")
+
+
 class BPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         vocab, alphabet = spec["model"]["vocab"], _byte_alphabet()
         self.size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.bytes_of = [b""] * self.size
@@ -80,6 +98,7 @@ class BPE:
         # The decimal form of every id with a comma, and the bytes it stands for, each in one flat array.
         self.text = _Flat([b"%d," % i for i in range(self.size)])
         self.token = _Flat(self.bytes_of)
+        self.table: dict[int, int] | None = None
         self.forget()
 
     def forget(self) -> None:
@@ -94,7 +113,48 @@ class BPE:
         return np.where(self.keys[at] == key, self.rank_of[at], _NO_RANK)
 
     def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and where each word's begin (one more than words).  data: the words' bytes back to back."""
+        """Ids of all words in one array, and where each word's begin (one more than words).  data: the words' bytes back to back.
+
+        A round costs the length of the words in it, and a long word may need as many rounds as it has kinds of pairs: those over LONG bytes go by a queue.
+        """
+        long = np.flatnonzero(sizes > LONG)
+        if not len(long):
+            return self._merge_rounds(data, sizes)
+        start = np.cumsum(sizes) - sizes
+        rest = np.flatnonzero(sizes <= LONG)
+        ids, at = self._merge_rounds(data[spread(start[rest], sizes[rest])], sizes[rest])
+        parts: list[np.ndarray] = [None] * len(sizes)  # type: ignore[list-item]
+        for i, lo, hi in zip(rest.tolist(), at[:-1].tolist(), at[1:].tolist()):
+            parts[i] = ids[lo:hi]
+        for i in long.tolist():
+            parts[i] = self._merge_long(data[start[i] : start[i] + sizes[i]])
+        return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+
+    def _merge_long(self, data: np.ndarray) -> np.ndarray:
+        """Of one word: pairs from a queue, lowest rank first and then leftmost."""
+        symbol = self.first[data].tolist()
+        n = len(symbol)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        ranks = self._ranks(self.first[data[:-1]], self.first[data[1:]])
+        known = np.flatnonzero(ranks < _NO_RANK)
+        queue = list(zip(ranks[known].tolist(), known.tolist(), self.first[data[:-1]][known].tolist(), self.first[data[1:]][known].tolist()))
+        heapq.heapify(queue)
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), self.rank_of.tolist()))
+        while queue:
+            rank, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if symbol[i] != a or j < 0 or symbol[j] != b:
+                continue  # one of them has been merged with another since
+            symbol[i], symbol[j], after[i] = int(self.made[rank]), -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x in (before[i], i):
+                if x >= 0 and after[x] >= 0 and (r := self.table.get(symbol[x] * self.size + symbol[after[x]])) is not None:
+                    heapq.heappush(queue, (r, x, symbol[x], symbol[after[x]]))
+        return np.array([s for s in symbol if s >= 0], np.int64)
+
+    def _merge_rounds(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbol = self.first[data]
         word = np.repeat(np.arange(len(sizes)), sizes)
         done_symbol, done_word = [], []
@@ -144,7 +204,7 @@ class BPE:
         first = np.zeros(len(point) + 1, dtype=bool)
         first[at] = True
         start |= first
-        after_space = np.flatnonzero((kind[1:] != _SPACE) & (kind[:-1] == _SPACE) & ~first[1:-1]) + 1
+        after_space = np.flatnonzero((kind[1:] != _BLANK) & (kind[:-1] == _BLANK) & ~first[1:-1]) + 1
         start[after_space - 1] = True
         start[after_space[point[after_space - 1] == 32]] = False
         quote = np.flatnonzero((point == 39) & start[:-1])

@@ -17,8 +17,8 @@ import pyarrow as pa
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: The byte is one of x20, x09-x0D.
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: The byte can stand in a word made of letters: a-z, A-Z and all of UTF-8's non-ASCII bytes.
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -115,7 +115,7 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the white-space separated, A-Z lower-cased words, and the word offsets of each row."""
     low = LOWER[buf]
-    start, end, at = runs(~SPACE[low], off)
+    start, end, at = runs(~BLANK[low], off)
     return span_hash(prefix_hash(low), start, end), at
 
 
