@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op8_top_k": topk.OP8_SQL}
+SQL = {"op3_mixing": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op8_top_k": topk.OP8_SQL}

@@ -1,44 +1,13 @@
-"""Places that all executors share, and tables that cut lineage."""
+"""What the operators share: folds, tables, and places for their own tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        found = sc._jsc.sc().getCheckpointDir()
-        place = found.get() if found.isDefined() else f"file://{_OWN_DIR}"
-    return place.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/geochron-{name}-{uuid.uuid4().hex}"
+from ..storage import discard, new_path, passing_tables, shared_dir, written
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: later plans start from files, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        if "/geochron-" in path:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["discard", "fold_of", "free_names", "new_path", "passing_tables", "shared_dir", "table", "written"]
 
 
 def fold_of(key: str, folds: int) -> Column:
@@ -48,3 +17,13 @@ def fold_of(key: str, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as the table has columns called so (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -12,7 +12,8 @@ hash, and keeps at most ``MAX_FEATURES`` features; scores are of whole texts.
 Defined cases: null text counts as empty; an empty text, or one without known features,
 scores the model's intercept; rows that repeat a doc_id train once, by the text that
 sorts first; rows without a label, or with a null one, don't train; without rows of both labels
-every score is the share of toxic labels (0 without any); repeated rows and ties are
+every score is the share of toxic labels (0 without any); only features of at least ``LEAST_ROWS`` texts whose rates differ by ``LEAST_Z`` standard errors count, so
+with very few labelled rows the score is that share too; repeated rows and ties are
 scored alike; an empty table gives no rows; further columns are not read.
 """
 
@@ -31,6 +32,7 @@ from .shared import fold_of, table
 from .textbytes import LETTER, LOWER, pieces, prefix_hash, runs, span_hash, text_buffer
 
 TRAIN_TOXIC, TRAIN_CLEAN, MAX_FEATURES = 3000, 6000, 2000
+LEAST_ROWS, LEAST_Z = 6, 6.0
 #: Terms that name a group of people; within a group of terms one can stand for another.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "woman", "man"),
@@ -129,7 +131,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float, ridge: float =
     p, q = pos / y.sum(), neg / (1 - y).sum()
     both = (pos + neg) / len(y)
     z = (p - q) / np.sqrt(both * (1 - both) * (1 / y.sum() + 1 / (1 - y).sum()) + 1e-12)
-    good = np.flatnonzero((pos + neg >= 6) & (np.abs(z) > 6))
+    good = np.flatnonzero((pos + neg >= LEAST_ROWS) & (np.abs(z) > LEAST_Z))
     good = good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_FEATURES]]
     pairs = [(t, s) for t in texts if (s := swapped(t)) is not None]
     pairs += [(n.format(a), n.format(b)) for n in NEUTRAL for g in IDENTITY_TERMS for a, b in zip(g, g[1:] + g[:1])]
