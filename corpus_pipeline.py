@@ -14,13 +14,11 @@ from geochron.llm.shared import new_path, table
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those too ambiguous to name a language, go."""
-    found = language_id.predicted(docs, language_id.learned(docs))
-    bad = found.where((found["lang_pred"] == language_id.UNKNOWN) | found["ambiguous"]).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return language_id.known_documents(docs, language_id.learned(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.keep_documents(exact_dedup.DigestIndex(spark, new_path(spark, "digests")), docs)
+    return exact_dedup.keep_documents(exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"), rows=docs.count()), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +26,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document; the files hold them in the order in which a reader meets the target weights.  A reader of many files loses the order."""
+    """Keeps every document; the files hold them in the order in which a reader meets the target weights.  A reader of many files loses the order, which
+    the last stage therefore writes down: a document's place follows from the documents that this stage keeps."""
     return mixing.interleaved(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's tokens and its place in the mix: source, slot, position, and in_mix (before the first source runs out)."""
-    placed = mixing.mixed(docs).select("doc_id", "text", F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"), F.col("_in_mix").alias("in_mix"))
-    return bpe.encoded(placed, more=("source", "slot", "position", "in_mix"))
+    names = mixing.own_columns(docs)
+    wanted = {"_source": "source", "_slot": "slot", "_position": "position", "_in_mix": "in_mix"}
+    placed = mixing.mixed(docs).select("doc_id", "text", *[F.col(names[k]).alias(v) for k, v in wanted.items()])
+    return bpe.encoded(placed, more=tuple(wanted.values()))
 
 
 STAGES = [("language_id", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mix), ("bpe", tokens)]
