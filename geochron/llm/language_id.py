@@ -115,7 +115,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     label = np.searchsorted(languages, langs)
     counts = np.zeros((len(languages), size))
     buf, off = text_buffer(pa.array(texts))
-    for lo, hi, b, o in pieces(buf, off):
+    for lo, hi, b, o in pieces(buf, off, 1 << 18):
         grams, at = ngram_features(b, o)
         who = np.repeat(label[lo:hi], np.diff(at))
         for k in np.unique(who):
@@ -125,7 +125,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     for j in range(bits):
         a, z = share[code[:, j] > 0].mean(0), share[code[:, j] < 0].mean(0)
         weights[:, j] = np.log((a + 1e-6) / (z + 1e-6))
-    means = np.vstack([_means(weights, *ngram_features(b, o)) for _, _, b, o in pieces(buf, off)])
+    means = np.vstack([_means(weights, *ngram_features(b, o)) for _, _, b, o in pieces(buf, off, 1 << 18)])
     scale, shift, trust = np.ones(bits), np.zeros(bits), np.ones(bits)
     for j in range(bits):
         x, y = means[:, j], (code[label, j] > 0).astype(float)
@@ -153,7 +153,8 @@ def training_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], l
     # The same text gets the same draw, so draws are by text and id.
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     drawn = fit_rows.where(draw < share[F.col("lang")]).select("text", "lang", draw.alias("draw"))
-    rows = drawn.orderBy("draw", "text").limit(most).select("text", "lang").toArrow()
+    rows = drawn.toArrow()  # about ``most``: each language's share is that of its rows
+    rows = rows.take(np.argsort(np.asarray(rows["draw"]), kind="stable")[:most])
     return rows["text"].to_pylist(), rows["lang"].to_pylist()
 
 
