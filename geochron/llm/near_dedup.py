@@ -423,4 +423,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     members = _members(docs)
     kept = written(members.groupBy("c").agg(F.min(row).alias("kept")), "near-kept")
     drop = members.join(kept, "c").where(row != F.col("kept")).select(F.col("doc_id").alias(ident), F.col("mark").alias(hashed)).distinct()
+    drop = written(drop, "near-drop")  # its size is known then, and texts aren't shuffled to meet few rows
     return docs.join(drop, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(hashed)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
