@@ -92,11 +92,12 @@ def add(index: DigestIndex, docs: DataFrame, batch: str | None = None) -> DataFr
 
 def keep_documents(index: DigestIndex, docs: DataFrame, batch: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns."""
-    digest, ident, sha = free_names(docs, "_digest", "_id", "_sha")
-    flags = add(index, docs, batch).where("kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).distinct()
-    held = docs.withColumn(digest, digest_of()).join(flags, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(digest) == F.col(sha)), "left_semi")
-    # Rows that repeat a doc_id with its text meet here; nothing else has both in common.
-    return held.dropDuplicates(["doc_id", digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest, number, absent = keys = free_names(docs, "_digest", "_number", "_absent")
+    ident = {number: F.coalesce("doc_id", F.lit(0)), absent: F.col("doc_id").isNull()}
+    flags = add(index, docs, batch).where("kept").select(F.col("text_sha256").alias(digest), *[c.alias(n) for n, c in ident.items()]).distinct()
+    held = docs.withColumns({digest: digest_of(), **ident}).join(flags, keys, "left_semi")
+    # Rows that repeat a doc_id with its text meet here; nothing else has both in common.  The join has dealt the rows by these columns already.
+    return held.dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
