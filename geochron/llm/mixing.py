@@ -171,8 +171,8 @@ WITH RECURSIVE d AS (
 ), n AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 f AS (SELECT greatest({FRAME}, 2 * count(*)) AS frame, sum(sqrt(n)) AS total FROM n),
 w AS (SELECT source, n, frame, sqrt(n) / total * frame AS want, greatest(1, CAST(floor(sqrt(n) / total * frame) AS BIGINT)) AS low FROM n, f),
-r AS (SELECT *, row_number() OVER (ORDER BY -(want - floor(want)), source) AS by_rest, frame - sum(low) OVER () AS over, count(*) OVER () AS sources FROM w),
-s AS (SELECT source, n, CAST(frame AS BIGINT) AS frame, CAST(low + over // sources + CASE WHEN by_rest <= over % sources THEN 1 ELSE 0 END AS BIGINT) AS share FROM r),
+r AS (SELECT *, row_number() OVER (ORDER BY -(want - floor(want)), source) AS by_rest, frame - sum(low) OVER () AS spare, count(*) OVER () AS sources FROM w),
+s AS (SELECT source, n, CAST(frame AS BIGINT) AS frame, CAST(low + spare // sources + CASE WHEN by_rest <= spare % sources THEN 1 ELSE 0 END AS BIGINT) AS share FROM r),
 l AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares, any_value(frame) AS frame FROM s),
 e AS (
   SELECT CAST(0 AS BIGINT) AS slot, list_transform(shares, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS INTEGER) AS pick FROM l
@@ -181,11 +181,11 @@ e AS (
     SELECT slot, done, list_position(due, list_min(due)) AS p FROM (
       SELECT slot, done, frame, list_transform(done, lambda k, i: CASE WHEN k < shares[i] AND k * frame // shares[i] <= slot THEN ((k + 1) * frame + shares[i] - 1) // shares[i] END) AS due
       FROM e, l WHERE slot < frame) q) p
-), a AS (SELECT names[pick] AS source, slot - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM e, l WHERE pick IS NOT NULL),
+), a AS (SELECT names[pick] AS source, slot - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM e, l WHERE pick IS NOT NULL),
 b AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST) - 1 AS nth FROM d),
 c AS (SELECT b.*, nth // {BLOCK_DOCS} AS block, share, frame FROM b JOIN s USING (source)),
 h AS (SELECT min((n // {BLOCK_DOCS}) // share * frame + ((n // {BLOCK_DOCS}) % share) * frame // share) AS horizon FROM s)
 SELECT doc_id, c.source, block, block * frame // share AS release, ((block + 1) * frame + share - 1) // share AS deadline,
-  block // share * frame + at AS slot, (block // share * frame + at) * {BLOCK_DOCS} + nth % {BLOCK_DOCS} AS position, block // share * frame + at < horizon AS in_mix
+  block // share * frame + place AS slot, (block // share * frame + place) * {BLOCK_DOCS} + nth % {BLOCK_DOCS} AS position, block // share * frame + place < horizon AS in_mix
 FROM c JOIN a ON a.source = c.source AND a.j = block % share, h
 """
