@@ -4,8 +4,8 @@ Spark plans a join on ranges as a nested loop.  Here both sides are exploded ove
 touch and joined on the cell; a pair is emitted only in the cell that holds the lower corner of the intersection of
 the boxes, so it comes out once without a distinct.
 
-The grid has levels, each with cells four times as wide as the one below.  The finest has cells as wide as the median box of the side whose median
-is larger; a box is dealt on the lowest level whose cells are at least as wide as itself, hence to four cells at most, and on the levels above that
+The grid has levels, each with cells four times as wide as the one below.  The finest has cells as wide as nearly all boxes of the wider side, or as
+its median box where sizes differ much; a box is dealt on the lowest level whose cells are at least as wide as itself, hence to four cells at most, and on the levels above that
 which the other side uses.  So one very large box adds a level, not a cell for every small one, and a pair meets on the level of its larger box.
 """
 
@@ -42,10 +42,12 @@ class _Grid:
         found = {}
         for p, df in sides.items():
             lo, hi = self.axes[0]
-            found[p] = df.agg(F.percentile_approx(self._side(p), 0.5, 1000), F.max(hi) - F.min(lo), F.count(F.lit(1))).first()
+            found[p] = df.agg(F.percentile_approx(self._side(p), [0.5, 0.99], 1000), F.max(hi) - F.min(lo), F.count(F.lit(1))).first()
         # Boxes without extent: about a row a cell.
         apart = max((r[1] or 0.0) / max(1.0, sqrt(r[2])) for r in found.values())
-        return max(*[r[0] or 0.0 for r in found.values()], 0.0) or apart or 1.0
+        # Nearly all boxes on one level where they are of like size; else half of them, and the wider ones above.
+        width = lambda half, most: most if most <= 4 * half else half
+        return max(*[width(*r[0]) if r[0] else 0.0 for r in found.values()], 0.0) or apart or 1.0
 
     def level(self, side: Column) -> Column:
         """0 for boxes up to a cell wide.  Widths of all levels are the lowest's times powers of four, exactly."""
