@@ -18,9 +18,7 @@ empty table gives no rows; further columns aren't read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -181,7 +179,6 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
     cut = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     cut.repartition(files, "block").write.bucketBy(files, "block").option("path", new_path(spark, "blocks")).saveAsTable(name)
     cut = spark.table(name)
-    _let_go(spark)
 
     def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, _, docs_of, _, _ = _block_contexts(*_block_texts(batches))
@@ -205,7 +202,6 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
 
     found = cut.groupBy("block").applyInArrow(find, _ddl(_ANCHOR_ROWS))
     shared = written(found.groupBy("bucket").applyInArrow(share, _ddl(_SHARED_ROWS)), "anchors")
-    _let_go(spark)
 
     def gather(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = [np.frombuffer(k, np.uint64) for k in right["anchors"].to_pylist()]
@@ -287,10 +283,8 @@ def trimmed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = F
 
     gathered = cut.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(gather, _ddl(_CONTEXT_ROWS))
     told = written(gathered.groupBy("bucket").applyInArrow(decide, _ddl(_ANSWER_ROWS)), "told")
-    _let_go(spark)
     fetched = cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(fetch, _ddl(_TEXT_ROWS))
     lost = written(fetched.groupBy("bucket").applyInArrow(sort, _ddl(_ANSWER_ROWS)), "lost")
-    _let_go(spark)
     answers = told.unionByName(lost)
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -348,13 +342,5 @@ def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _let_go(spark: SparkSession) -> None:
-    """What earlier steps shuffled isn't needed once their result is a table: lets Spark's cleaner, which runs on its own, have it."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trimmed(table(spark, sf_dir, "documents"))
