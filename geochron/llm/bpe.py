@@ -102,10 +102,10 @@ class BPE:
         self.forget()
 
     def forget(self) -> None:
-        self.memory: dict[int, int] = {}
-        self.ids = _Growing()
-        self.begins = _Growing()
-        self.counts = _Growing()
+        self.known = _Numbers()
+        self.ids = _Growing(np.int32)
+        self.begins = _Growing(np.int64)
+        self.counts = _Growing(np.int32)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -252,40 +252,40 @@ class BPE:
             lo = (np.cumsum(width) - width)[start]
         hi = np.append(lo[1:], len(data))
         key, some, inverse = np.unique(span_hash(prefix_hash(data), lo, hi), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.memory]
-        if len(self.memory) + len(new) > CACHE_WORDS:
+        index = self.known.find(key)
+        new = np.flatnonzero(index < 0)
+        if len(self.known) + len(new) > CACHE_WORDS:
             self.forget()
-            new = list(range(len(keys)))
-        if new:
-            self._learn([keys[i] for i in new], data, lo[some[new]], hi[some[new]], bool(whole))
-        index = np.fromiter(map(self.memory.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
-        n = self.counts.all()[index]
-        ids = self.ids.all()[spread(self.begins.all()[index], n)]
+            new = np.arange(len(key))
+        if len(new):
+            index[new] = self._learn(key[new], data, lo[some[new]], hi[some[new]], bool(whole))
+        index = index[inverse]
+        n = self.counts.all()[index].astype(np.int64)
+        ids = self.ids.all()[spread(self.begins.all()[index], n)].astype(np.int64)
         per_text = np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64)
         return ids, np.append(0, np.cumsum(per_text))
 
-    def _learn(self, keys: list[int], data: np.ndarray, lo: np.ndarray, hi: np.ndarray, special: bool) -> None:
-        """Puts the ids of pre-tokens, by their hashes, into the memory."""
+    def _learn(self, keys: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, special: bool) -> np.ndarray:
+        """Keeps the ids of pre-tokens under their hashes, which ascend; their numbers."""
+        number, added = np.full(len(keys), -1, np.int64), []
         if special:
             longest = max(map(len, self.added))
             for i in np.flatnonzero(hi - lo <= 4 * longest).tolist():
                 word = data[lo[i] : hi[i]].tobytes()
                 if word in self.added_bytes:
-                    self._keep(keys[i], np.array([self.added_bytes[word]]))
-        rest = [i for i, k in enumerate(keys) if k not in self.memory]
+                    number[i] = self.counts.size + len(added)
+                    added.append(self.added_bytes[word])
+        self._keep(np.array(added, dtype=np.int64), np.arange(len(added) + 1))
+        rest = np.flatnonzero(number < 0)
+        number[rest] = self.counts.size + np.arange(len(rest))
         sizes = (hi - lo)[rest]
-        ids, at = self.merge(data[spread(lo[rest], sizes)], sizes)
-        base = self.ids.size
-        self.ids.add(ids)
-        self.counts.add(np.diff(at))
-        self.begins.add(at[:-1] + base)
-        self.memory.update(zip([keys[i] for i in rest], range(len(self.memory), len(self.memory) + len(rest))))
+        self._keep(*self.merge(data[spread(lo[rest], sizes)], sizes))
+        self.known.add(keys, number)
+        return number
 
-    def _keep(self, key: int, ids: np.ndarray) -> None:
-        self.memory[key] = len(self.memory)
-        self.begins.add(np.array([self.ids.size]))
-        self.counts.add(np.array([len(ids)]))
+    def _keep(self, ids: np.ndarray, at: np.ndarray) -> None:
+        self.begins.add(at[:-1] + self.ids.size)
+        self.counts.add(np.diff(at))
         self.ids.add(ids)
 
     def encode(self, text: str) -> list[int]:
@@ -316,15 +316,47 @@ class _Flat:
         return self.bytes[spread(self.starts[numbers], n)], np.append(0, np.cumsum(n))
 
 
-class _Growing:
-    """An int64 array that grows at its end."""
+class _Numbers:
+    """Numbers of hashes, found by binary search.  New ones go to a small level, which joins the large one once it is an eighth of it."""
 
     def __init__(self):
-        self.data, self.size = np.zeros(1 << 16, np.int64), 0
+        self.large = self.small = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, number in (self.large, self.small):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, number: np.ndarray) -> None:
+        """Ascending keys that aren't there yet."""
+        self.small = _inserted(self.small, (keys, number))
+        if 8 * len(self.small[0]) > len(self.large[0]):
+            self.large = _inserted(self.large, self.small)
+            self.small = (self.small[0][:0].copy(), self.small[1][:0].copy())
+
+
+def _inserted(into: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(into[0], rows[0])
+    return np.insert(into[0], at, rows[0]), np.insert(into[1], at, rows[1])
+
+
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.zeros(1 << 16, kind), 0
 
     def add(self, more: np.ndarray) -> None:
         if self.size + len(more) > len(self.data):
-            self.data = np.concatenate([self.data[: self.size], np.zeros(max(len(self.data), len(more)), np.int64)])
+            self.data = np.concatenate([self.data[: self.size], np.zeros(max(len(self.data) // 2, len(more)), self.data.dtype)])
         self.data[self.size : self.size + len(more)] = more
         self.size += len(more)
 
