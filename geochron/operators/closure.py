@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.triples import LINKS, Source, candidates
-from ..storage import discard, written
+from ..storage import discard, new_path, written
 from .mutations import ops
 
 _STEP = "closure"
@@ -15,22 +16,23 @@ _STEP = "closure"
 def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """node, depth: all nodes reachable from start (node), start included at depth 0.  links: src, dst.
 
-    Breadth first.  One table holds what is seen: each round joins the rows of the last depth only with the links and adds what they reach
-    with one aggregation, so plans don't grow with depth and a round reads what the round before wrote, no more.  The number of rounds is the longest shortest path.
+    Breadth first.  One table holds what is seen, in a partition a depth: each round joins the last partition only with the links and appends what
+    is new as the next one, so plans don't grow with depth and nothing is written twice.  The number of rounds is the longest shortest path.
     """
-    seen = written(start.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), _STEP)
-    edges = written(links.select("src", "dst").where("dst is not null").distinct(), _STEP)
+    spark, root = start.sparkSession, new_path(start.sparkSession, _STEP)
+    kind = start.schema["node"].dataType
+    schema = StructType([StructField("node", kind), StructField("depth", IntegerType())])
+    start.select("node").where("node is not null").distinct().write.parquet(f"{root}/depth=0")
+    edges = written(links.select("src", F.col("dst").cast(kind).alias("dst")).where("dst is not null").distinct(), _STEP)
     depth = 0
     while True:
         depth += 1
-        step = seen.where(F.col("depth") == depth - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"))
-        new = written(step.distinct().join(seen.select("node"), "node", "left_anti").select("node", "depth"), _STEP)
-        if new.isEmpty():
-            discard(new, edges)
+        seen, last = spark.read.schema(schema).parquet(root), f"{root}/depth={depth}"
+        step = seen.where(F.col("depth") == depth - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        step.join(seen.select("node"), "node", "left_anti").write.parquet(last)
+        if spark.read.schema(StructType(schema.fields[:1])).parquet(last).isEmpty():
+            discard(edges)
             return seen
-        both = written(seen.unionByName(new), _STEP)
-        discard(seen, new)
-        seen = both
 
 
 def link_pairs(triples: DataFrame, properties: tuple[str, ...] = LINKS) -> DataFrame:

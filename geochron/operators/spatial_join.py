@@ -101,9 +101,20 @@ def _every(tests: list[Column]) -> Column:
     return out
 
 
+def _spread(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two small tables are shuffled by cell: a broadcast join would have as few tasks as the other side has files, however many pairs come out.
+
+    If only one is small, Spark broadcasts it after its own check of the size and leaves the large one where it is; two large ones it shuffles.
+    """
+    most = int(a.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    bytes_of = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return (a.hint("merge"), b.hint("merge")) if max(bytes_of(a), bytes_of(b)) <= most else (a, b)
+
+
 def _joined(left: DataFrame, right: DataFrame, axes, margin: float, cell: float | None, flat: bool = False) -> DataFrame:
     grid = _Grid({"l_": left, "r_": right}, axes, margin, cell, flat)
-    pairs = grid.dealt(left, "l_").join(grid.dealt(right, "r_"), grid.keys).where(grid.meet() & grid.home())
+    a, b = _spread(grid.dealt(left, "l_"), grid.dealt(right, "r_"))
+    pairs = a.join(b, grid.keys).where(grid.meet() & grid.home())
     return pairs.drop(*grid.keys, "l__level", "r__level")
 
 
