@@ -103,7 +103,7 @@ def _model(keys: np.ndarray, weights: np.ndarray, intercept: float) -> Model:
 
 def _rows(texts: list[str]) -> list[np.ndarray]:
     buf, off = text_buffer(pa.array(texts, pa.large_string()))
-    return [r for _, _, b, o in pieces(buf, off) for r in distinct_features(b, o)]
+    return [r for _, _, b, o in pieces(buf, off, 1 << 18) for r in distinct_features(b, o)]
 
 
 def _dense(rows: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -115,6 +115,17 @@ def _dense(rows: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return x
 
 
+def _changes(pairs: list[tuple[str, str]], keys: np.ndarray, block: int = 256) -> np.ndarray:
+    """The distinct changes of the features from a text to its swapped twin, taken block by block, so that few dense rows are held at once."""
+    found = np.zeros((0, len(keys)), np.float32)
+    for i in range(0, len(pairs), block):
+        some = pairs[i : i + block]
+        change = _dense(_rows([b for _, b in some]), keys)
+        np.subtract(_dense(_rows([a for a, _ in some]), keys), change, out=change)
+        found = np.unique(np.vstack([found, change[change.any(1)]]), axis=0)  # an unchanged row costs nothing
+    return found
+
+
 def fit(texts: list[str], labels: list[int], toxic_share: float, ridge: float = 0.5, counterfactual: float = 4.0, steps: int = 120) -> Model:
     """toxic_share: of all labelled rows, which the sample need not have."""
     y = np.array(labels, dtype=np.float64)
@@ -123,10 +134,10 @@ def fit(texts: list[str], labels: list[int], toxic_share: float, ridge: float =
         p = min(max(toxic_share, 1e-9), 1 - 1e-9)
         return _model(empty, np.zeros(0), float(np.log(p / (1 - p))))
     rows = _rows(texts)
-    every, which = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
-    keys, inverse = np.unique(every, return_inverse=True)
-    pos = np.bincount(inverse, weights=which, minlength=len(keys))
-    neg = np.bincount(inverse, minlength=len(keys)) - pos
+    (some, n_some), (others, n_others) = (np.unique(np.concatenate([r for r, t in zip(rows, y) if t == side]), return_counts=True) for side in (1, 0))
+    keys = np.union1d(some, others)
+    pos, neg = np.zeros(len(keys)), np.zeros(len(keys))
+    pos[np.searchsorted(keys, some)], neg[np.searchsorted(keys, others)] = n_some, n_others
     # Features whose rates among toxic and other texts differ most, in standard errors.
     p, q = pos / y.sum(), neg / (1 - y).sum()
     both = (pos + neg) / len(y)
@@ -136,13 +147,15 @@ def fit(texts: list[str], labels: list[int], toxic_share: float, ridge: float =
     pairs = [(t, s) for t in texts if (s := swapped(t)) is not None]
     pairs += [(n.format(a), n.format(b)) for n in NEUTRAL for g in IDENTITY_TERMS for a, b in zip(g, g[1:] + g[:1])]
     keys = np.sort(keys[good])
+    del some, n_some, others, n_others, pos, neg, both, p, q, z, good
     x = _dense(rows, keys)
-    change = np.unique(_dense(_rows([a for a, _ in pairs]), keys) - _dense(_rows([b for _, b in pairs]), keys), axis=0)
+    del rows
+    change = _changes(pairs, keys)
     # Weights make up for the sample's share of toxic texts, which isn't the table's.
     share = min(max(toxic_share, 1e-6), 1 - 1e-6)
     case = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     w, b = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
-    scale = 1 / (0.25 * (x**2).sum(0) + ridge + counterfactual * 2 * (change**2).sum(0) * max(1, np.abs(change).sum(1).max(initial=1)))
+    scale = 1 / (0.25 * x.sum(0) + ridge + counterfactual * 2 * (change**2).sum(0) * max(1, np.abs(change).sum(1).max(initial=1)))
     speed, vw, vb = 0.9, np.zeros_like(w), 0.0
     for _ in range(steps):  # gradient steps with momentum, each weight at a pace of its own
         err = (case * (1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30))) - y)).astype(np.float32)
