@@ -10,9 +10,10 @@ The count behind a level is the middle of what it stands for.  The probability o
 
 where base is the additively smoothed share of the token; base probabilities and token counts are exact.
 
-Token counts and filter are cut into segments by hash.  Segments are broadcast together up to
-``BROADCAST_BYTES``; beyond that the texts are passed over once for every group of
-segments that fits, each pass adding what its segments know to the counts of the document's tokens.
+Token counts and filter are cut into segments by hash, and the texts are dealt to pieces.  A piece sends each segment the
+distinct tokens and pairs that fall into it, with their counts in the texts to learn from; the segment adds them up, makes its
+part of the filter, and answers each piece with the counts and levels of what it asked for.  So texts are read twice however large the
+model is, and no task holds more of it than a segment.
 
 Tokens: A-Z lower-cased words, and one end a text.  Null text counts as empty, which is the end
 alone.  Rows without doc_id hash as the empty text; repeated rows all count and score alike; with
@@ -21,26 +22,23 @@ nothing to learn from, every base probability is 1 / (V + 1) with V = 0; an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, fold_of, table, written
-from .textbytes import mix64, pieces, row_sums, text_buffer, word_hashes
+from .shared import fold_of, table
+from .textbytes import mix64, packed_counts, pieces, row_sums, text_buffer, unpacked_counts, word_hashes
 
 ADD, MU = 0.1, 3.0
 #: Bits of the filter for each item in it, and probes for each item: a false item turns up with probability 0.8 %.
 ITEM_BITS, PROBES = 10, 5
-#: Most bytes of counts and filter that are broadcast at once.
-BROADCAST_BYTES = 192 << 20
-#: Tokens that a task counts before it hands on what it has.
-FLUSH_TOKENS = 3_000_000
+#: Bytes of text in a piece (less in tables under 64 pieces, for tasks of like size), and those whose tokens and pairs share a segment.
+PIECE, SEGMENT = 16 << 20, 24 << 20
 _END = np.uint64(0x2545F4914F6CDD1D)
 _BEGIN = np.uint64(0x9E6C63D0876A9A47)
-_TOKEN, _PAIR = 0, 1
+#: Pairs go by the upper 48 bits of their hash.
+_PAIR_BITS = ~np.uint64(0xFFFF)
 
 
 def tokens_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +58,7 @@ def tokens_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def pair_key(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + token)
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + token) & _PAIR_BITS
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -129,165 +127,134 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
     new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    total = np.diff(np.append(new, len(keys))) if counts is None else (np.add.reduceat(counts, new) if len(keys) else counts)
-    return keys[new], total
+    return keys[new], np.add.reduceat(counts, new) if len(keys) else counts
+
+
+_ASKED = pa.schema([("piece", pa.int64()), ("segment", pa.int64()), *((c, pa.binary()) for c in ("tokens", "small", "big", "pairs", "pair_small", "pair_big"))])
+_ANSWER = "piece long, segment long, small binary, big binary, levels binary, n long, v long"
+
+
+def in_pieces(docs: DataFrame, held_out: Column, segments: int | None = None) -> tuple[DataFrame, int]:
+    """doc_id, text, held (not to learn from) and piece (by a hash of the row); the number of segments."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    piece = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + max(size // PIECE, min(63, size >> 20))))
+    return docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held"), piece.alias("piece")), segments or max(12, 1 + size // SEGMENT)
+
+
+def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens_of the whole piece."""
+    parts = [tokens_of(b, o) for _, _, b, o in pieces(*text_buffer(table["text"]))]
+    start = np.cumsum(np.concatenate([[0], *(np.diff(p[1]) for p in parts)]))
+    return np.concatenate([p[0] for p in parts]), start, np.concatenate([p[2] for p in parts])
+
+
+def _asked(rows: DataFrame, segments: int) -> DataFrame:
+    """A row for each piece and segment: the piece's distinct tokens and pairs there, in order, and how often they are to be learned."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        token, start, before = _tokens(table)
+        learn = 1 - table["held"].combine_chunks().cast(pa.int64()).to_numpy()
+        # What comes before a text's first token counts as a token of its own, so that counts of histories are whole.
+        times = np.repeat(learn, np.diff(start))
+        k, n = _sums(np.append(token, _BEGIN), np.append(times, learn.sum()))
+        p, m = _sums(pair_key(before, token), times)
+        at, to = (np.searchsorted(segment_of(x, segments), np.arange(segments + 1)) for x in (k, p))
+        six = p.view(np.uint8).reshape(-1, 8)[:, 2:]
+        piece = table["piece"][0].as_py()
+        rows = [(piece, s, k[at[s] : at[s + 1]].tobytes(), *packed_counts(n[at[s] : at[s + 1]]), six[to[s] : to[s + 1]].tobytes(), *packed_counts(m[to[s] : to[s + 1]])) for s in range(segments)]
+        return pa.table(list(map(pa.array, zip(*rows), _ASKED.types)), _ASKED)
+
+    kinds = "piece long, segment long, tokens binary, small binary, big binary, pairs binary, pair_small binary, pair_big binary"
+    return rows.groupBy("piece").applyInArrow(ask, kinds)
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]:
+    """Tokens, their counts, pairs, their counts of a segment's rows; how many tokens and pairs each row has."""
+    col = {c: table[c].to_pylist() for c in table.column_names}
+    counts = [np.concatenate([unpacked_counts(a, b) for a, b in zip(col[x], col[y])]) for x, y in (("small", "big"), ("pair_small", "pair_big"))]
+    pairs = np.zeros((len(counts[1]), 8), np.uint8)
+    pairs[:, 2:] = np.frombuffer(b"".join(col["pairs"]), np.uint8).reshape(-1, 6)
+    return np.frombuffer(b"".join(col["tokens"]), np.uint64), counts[0], pairs.view(np.uint64).ravel(), counts[1], [len(x) for x in col["small"]], [len(x) for x in col["pair_small"]]
+
+
+def _built(token: np.ndarray, times: np.ndarray, pair: np.ndarray, pair_times: np.ndarray) -> tuple[Segment, int, int]:
+    """A segment, its tokens' occurrences, and how many tokens it has."""
+    k, c = _sums(token, times)
+    k, c = k[c > 0], c[c > 0]
+    f = Filter.of(*_sums(pair, pair_times))
+    real = k != _BEGIN
+    return Segment(k.tobytes(), c.tobytes(), f.bits, f.bytes.tobytes()), int(c[real].sum()), int(real.sum())
+
+
+def _answered(table: pa.Table, built: tuple[Segment, int, int] | None) -> pa.Table:
+    """What a segment, or one made of what it is asked, answers to each piece."""
+    token, times, pair, pair_times, tokens, pairs = _arrays(table)
+    segment, n, v = built or _built(token, times, pair, pair_times)
+    every, place = np.unique(pair, return_inverse=True)
+    level = segment.filter.level(every).astype(np.uint8)[place]
+    packed = [packed_counts(x) for x in np.split(segment.count(token), np.cumsum(tokens)[:-1])]
+    levels_of = [x.tobytes() for x in np.split(level, np.cumsum(pairs)[:-1])]
+    cols = [pa.array([a for a, _ in packed], pa.binary()), pa.array([b for _, b in packed], pa.binary()), pa.array(levels_of, pa.binary()), *(pa.array([x] * len(table), pa.int64()) for x in (n, v))]
+    return pa.table([table["piece"], table["segment"], *cols], ["piece", "segment", "small", "big", "levels", "n", "v"])
 
 
 def learned(docs: DataFrame, segments: int | None = None) -> DataFrame:
     """One row a segment: its number, tokens, their counts, and the filter; n: its tokens' occurrences, v: how many tokens."""
-    if segments is None:
-        segments = max(48, 4 * docs.rdd.getNumPartitions())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for kind in (_TOKEN, _PAIR):
-                keys, n = _sums(np.concatenate(kept[kind]))
-                cut = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
-                for s in range(segments):
-                    k, c = keys[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]
-                    if len(k):
-                        small = c.max() < 256
-                        rows.append((s, kind, k.tobytes(), c.astype(np.uint8 if small else np.int64).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["segment", "kind", "keys", "counts"])
-
-        kept: dict[int, list[np.ndarray]] = {_TOKEN: [], _PAIR: []}
-        size = 0
-        for batch in batches:
-            for _, _, b, o in pieces(*text_buffer(batch["text"])):
-                token, start, before = tokens_of(b, o)
-                # What comes before a text's first token counts as a token of its own, so that counts of histories are whole.
-                kept[_TOKEN] += [token, np.full(len(o) - 1, _BEGIN)]
-                kept[_PAIR].append(pair_key(before, token))
-                size += len(token)
-                if size >= FLUSH_TOKENS:
-                    yield flush()
-                    kept, size = {_TOKEN: [], _PAIR: []}, 0
-        if size:
-            yield flush()
-
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[int, list[np.ndarray]] = {_TOKEN: [np.zeros(0, np.uint64)], _PAIR: [np.zeros(0, np.uint64)]}
-        counts: dict[int, list[np.ndarray]] = {_TOKEN: [np.zeros(0, np.int64)], _PAIR: [np.zeros(0, np.int64)]}
-        for b in batches:
-            for kind, k, c in zip(b["kind"].to_pylist(), b["keys"].to_pylist(), b["counts"].to_pylist()):
-                keys[kind].append(np.frombuffer(k, np.uint64))
-                counts[kind].append(np.frombuffer(c, np.uint8 if len(c) * 8 == len(k) else np.int64).astype(np.int64))
-        k, c = _sums(np.concatenate(keys[_TOKEN]), np.concatenate(counts[_TOKEN]))
-        f = Filter.of(*_sums(np.concatenate(keys[_PAIR]), np.concatenate(counts[_PAIR])))
-        real = k != _BEGIN
-        row = [key[0], pa.scalar(k.tobytes()), pa.scalar(c.tobytes()), pa.scalar(f.bits), pa.scalar(f.bytes.tobytes()), pa.scalar(int(c[real].sum())), pa.scalar(int(real.sum()))]
-        yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["segment", "keys", "counts", "bits", "filter", "n", "v"])
-
-    parts = docs.select("text").mapInArrow(count, "segment int, kind int, keys binary, counts binary")
-    return parts.groupBy("segment").applyInArrow(build, "segment int, keys binary, counts binary, bits long, filter binary, n long, v long")
-
-
-def scored(docs: DataFrame, model: DataFrame, segments: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score.  model: learned(), as a written table."""
-    spark = docs.sparkSession
-    sizes = model.select("segment", "n", "v", (F.length("keys") + F.length("counts") + F.length("filter")).alias("bytes")).toArrow().to_pylist()
-    total, kinds = sum(r["n"] for r in sizes), sum(r["v"] for r in sizes)
-    groups: list[list[int]] = [[]]
-    size = 0
-    for r in sorted(sizes, key=lambda r: r["segment"]):
-        if size + r["bytes"] > broadcast_bytes and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(r["segment"])
-        size += r["bytes"]
-
-    def loaded(numbers: list[int]):
-        rows = model.where(F.col("segment").isin(numbers)).select("segment", "keys", "counts", "bits", "filter")
-        return spark.sparkContext.broadcast({r["segment"]: (bytes(r["keys"]), bytes(r["counts"]), r["bits"], bytes(r["filter"])) for r in rows.toLocalIterator()})
-
-    def look_up(held, b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row offsets; counts of each token and of the one before it; level of the pair: 0 where these segments don't know."""
-        token, start, before = tokens_of(b, o)
-        segs = {s: Segment(*x) for s, x in held.value.items()}
+    rows, segments = in_pieces(docs, F.lit(False), segments)
+
+    def build(table: pa.Table) -> pa.Table:
+        s, n, v = _built(*_arrays(table)[:4])
+        row = {"segment": table["segment"][0].as_py(), "keys": s.keys.tobytes(), "counts": s.counts.tobytes(), "bits": s.filter.bits, "filter": s.filter.bytes.tobytes(), "n": n, "v": v}
+        return pa.table({k: pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for k, x in row.items()})
+
+    return _asked(rows, segments).groupBy("segment").applyInArrow(build, "segment long, keys binary, counts binary, bits long, filter binary, n long, v long")
+
+
+def scored(docs: DataFrame, model: DataFrame, segments: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score.  model: learned() with as many segments, as a written table."""
+
+    def answer(table: pa.Table, own: pa.Table) -> pa.Table:
+        r = (own.to_pylist() or [{"keys": b"", "counts": b"", "bits": 64, "filter": bytes(8), "n": 0, "v": 0}])[0]
+        built = Segment(r["keys"], r["counts"], r["bits"], r["filter"]), r["n"], r["v"]
+        return _answered(table, built) if len(table) else pa.table({c: pa.array([], t) for c, t in zip(("piece", "segment", "small", "big", "levels", "n", "v"), (pa.int64(),) * 2 + (pa.binary(),) * 3 + (pa.int64(),) * 2)})
+
+    rows, segments = in_pieces(docs, F.lit(True), segments)
+    return _scores(rows, _asked(rows, segments).groupBy("segment").cogroup(model.groupBy("segment")).applyInArrow(answer, _ANSWER))
+
+
+def _scores(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    def score(table: pa.Table, found: pa.Table) -> pa.Table:
+        answer = sorted(found.to_pylist(), key=lambda r: r["segment"])
+        total, kinds = sum(r["n"] for r in answer), sum(r["v"] for r in answer)
+        token, start, before = _tokens(table)
+        known = np.concatenate([unpacked_counts(r["small"], r["big"]) for r in answer])
         every, place = np.unique(np.append(token, _BEGIN), return_inverse=True)
-        known = np.zeros(len(every), np.int64)
-        which = segment_of(every, segments)
-        for s in np.unique(which).tolist():
-            if s in segs:
-                known[which == s] = segs[s].count(every[which == s])
-        begin = place[-1]
-        c, place = known[place[:-1]], place[:-1]
+        pair, pair_place = np.unique(pair_key(before, token), return_inverse=True)
+        level = np.frombuffer(b"".join(r["levels"] for r in answer), np.uint8)
+        if (len(known), len(level)) != (len(every), len(pair)):
+            raise ValueError(f"{len(known)} counts for {len(every)} tokens, {len(level)} levels for {len(pair)} pairs")
+        begin, place = place[-1], place[:-1]
         at = np.append(begin, place[:-1])
         at[start[:-1]] = begin
-        h = known[at]
-        pair = pair_key(before, token)
-        # With all segments at hand, pairs with an unknown token need no probe.
-        ask = np.flatnonzero((c > 0) & (h > 0)) if whole else np.arange(len(token))
-        which = segment_of(pair[ask], segments)
-        order = np.argsort(which, kind="stable")
-        cut = np.searchsorted(which[order], np.arange(segments + 1))
-        level = np.zeros(len(token), np.int64)
-        for s in range(segments):
-            if cut[s + 1] > cut[s] and s in segs:
-                i = ask[order[cut[s] : cut[s + 1]]]
-                level[i] = segs[s].filter.level(pair[i])
-        return start, c, h, level
-
-    def result(ids: pa.Array, start: np.ndarray, c: np.ndarray, h: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+        c, h = known[place], known[at]
         base = (c + ADD) / (total + ADD * (kinds + 1))
-        level = np.where((c > 0) & (h > 0), level, 0)
-        seen = np.minimum(level_count(level), np.minimum(c, h))
-        p = (seen + MU * base) / (h + MU)
-        cols = [np.diff(start), row_sums((c > 0).astype(np.int64), start), np.full(len(ids), total, np.int64), row_sums(np.log10(base), start), row_sums(np.log10(p), start)]
-        return pa.RecordBatch.from_arrays([ids, *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        of_pair = np.where((c > 0) & (h > 0), level.astype(np.int64)[pair_place], 0)
+        p = (np.minimum(level_count(of_pair), np.minimum(c, h)) + MU * base) / (h + MU)
+        cols = [np.diff(start), row_sums((c > 0).astype(np.int64), start), np.full(len(table), total, np.int64), row_sums(np.log10(base), start), row_sums(np.log10(p), start)]
+        return pa.table([table["doc_id"], *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    whole = len(groups) == 1
-    rows = docs.select("doc_id", "text")
-    if whole:
-        held = loaded(groups[0])
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, b, o in pieces(*text_buffer(batch["text"])):
-                    yield result(batch["doc_id"].slice(lo, hi - lo), *look_up(held, b, o))
-
-        return rows.mapInArrow(score, schema)
-
-    empty = F.lit(b"")
-    state = rows.select("doc_id", "text", empty.alias("c"), empty.alias("h"), empty.alias("level"))
-    for numbers in groups:
-        held = loaded(numbers)
-
-        def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, b, o in pieces(*text_buffer(batch["text"])):
-                    start, *new = look_up(held, b, o)
-                    cols = []
-                    for name, x in zip(("c", "h", "level"), new):
-                        old = batch[name].slice(lo, hi - lo).to_pylist()
-                        cols.append(pa.array([(x[a:z] + (np.frombuffer(was, np.int64) if was else 0)).tobytes() for was, a, z in zip(old, start[:-1], start[1:])], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), batch["text"].slice(lo, hi - lo), *cols], ["doc_id", "text", "c", "h", "level"])
-
-        state = written(state.mapInArrow(add, "doc_id long, text string, c binary, h binary, level binary"), "lm-state")
-
-    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, h, level = (np.frombuffer(b"".join(batch[k].to_pylist()), np.int64) for k in ("c", "h", "level"))
-            start = np.append(0, np.cumsum([len(x) // 8 for x in batch["c"].to_pylist()])).astype(np.int64)
-            yield result(batch["doc_id"], start, c, h, level)
-
-    return state.select("doc_id", "c", "h", "level").mapInArrow(end, schema)
-
-
-def score_corpus(docs: DataFrame, held_out: Column, segments: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Learns from the rows that aren't held out and scores all."""
-    segments = segments or max(48, 4 * docs.rdd.getNumPartitions())
-    model = written(learned(docs.where(~held_out), segments), "lm-segments")
-    return scored(docs, model, segments, broadcast_bytes)
+    return rows.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score, schema)
+
+
+def score_corpus(docs: DataFrame, held_out: Column, segments: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+    """Learns from the rows that aren't held out and scores all.  Nothing is broadcast: broadcast_bytes, which callers may still give, changes nothing."""
+    rows, segments = in_pieces(docs, held_out, segments)
+    return _scores(rows, _asked(rows, segments).groupBy("segment").applyInArrow(lambda table: _answered(table, None), _ANSWER))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

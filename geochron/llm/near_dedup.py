@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import free_names, passing_tables, table, written
-from .textbytes import mix64, pieces, row_sums, text_buffer, word_hashes
+from .textbytes import mix64, packed_counts, pieces, row_sums, text_buffer, unpacked_counts, word_hashes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998, at 0.85 with 0.9999.
@@ -105,17 +105,6 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _counts(n: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts in a byte each; those of 255 or more apart."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()
-
-
-def _counted(small: bytes, big: bytes) -> np.ndarray:
-    n = np.frombuffer(small, np.uint8).astype(np.int64)
-    n[n == 255] = np.frombuffer(big, np.int64)
-    return n
-
-
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """piece, segment, small, big: document frequencies of the distinct shingles of each piece, in order."""
     rows, _, bits = in_pieces(docs)
@@ -134,7 +123,7 @@ def _frequencies(rows: DataFrame, bits: int) -> DataFrame:
         for s in np.flatnonzero(at[1:] > at[:-1]).tolist():
             lo, hi = at[s], at[s + 1]
             low = np.ascontiguousarray(distinct[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]  # at most 48 bits are left
-            for c, x in zip(out, (piece, s, low.tobytes(), *_counts(times[lo:hi]))):
+            for c, x in zip(out, (piece, s, low.tobytes(), *packed_counts(times[lo:hi]))):
                 out[c].append(x)
         return pa.table(out, _ASKED)
 
@@ -143,9 +132,9 @@ def _frequencies(rows: DataFrame, bits: int) -> DataFrame:
         wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
         wide[:, :6] = np.concatenate(keys)
         _, which = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-        times = np.concatenate([_counted(*x) for x in zip(table["small"].to_pylist(), table["big"].to_pylist())])
+        times = np.concatenate([unpacked_counts(*x) for x in zip(table["small"].to_pylist(), table["big"].to_pylist())])
         total = np.bincount(which, weights=times).astype(np.int64)[which]
-        packed = [_counts(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
+        packed = [packed_counts(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.table({"piece": table["piece"], "segment": table["segment"], "small": pa.array([a for a, _ in packed], pa.binary()), "big": pa.array([b for _, b in packed], pa.binary())})
 
     asked = rows.groupBy("piece").applyInArrow(ask, "piece long, segment long, keys binary, small binary, big binary")
@@ -212,7 +201,7 @@ def weighted(docs: DataFrame) -> DataFrame:
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         parts, distinct, _ = _sets_of(table)
         answers = sorted(zip(found["segment"].to_pylist(), found["small"].to_pylist(), found["big"].to_pylist()))
-        df = np.concatenate([_counted(a, b) for _, a, b in answers] or [np.zeros(0, np.int64)])
+        df = np.concatenate([unpacked_counts(a, b) for _, a, b in answers] or [np.zeros(0, np.int64)])
         if len(df) != len(distinct):
             raise ValueError(f"{len(df)} document frequencies for {len(distinct)} shingles")
         idf = np.log1p(n / df)

@@ -126,3 +126,14 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, at[:-1][full], axis=0)
     return out
+
+
+def packed_counts(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts in a byte each; those of 255 or more apart."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()
+
+
+def unpacked_counts(small: bytes, big: bytes) -> np.ndarray:
+    n = np.frombuffer(small, np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(big, np.int64)
+    return n
