@@ -1,9 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is the weighted set of its shingles of five words (fewer, if it has fewer),
-weight = occurrences * idf.  Idf is ln(1 + N / df), with the exact document frequency of every shingle: the texts are
-dealt to pieces, a piece sends its distinct shingles to the segments of the hash range, and a segment adds up the counts of
-its shingles and answers each piece.  No table of all shingles is held or sent to all.
+weight = occurrences * idf.  Idf is ln(1 + N / df), with the exact document frequency of every shingle: runs of
+texts are pieces, a piece sends its distinct shingles to the segments of the hash range, and a segment adds up the counts of
+its shingles and answers each piece.  No table of all shingles is held or sent to all.  Pieces travel compressed, shingles as
+differences from the one before.
 
 Each of BANDS * ROWS hash functions draws one consistent weighted sample of the set (Ioffe 2010);
 the samples of a band together are a bucket.  Texts with equal weighted sets are one vertex,
@@ -26,6 +27,7 @@ an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -85,24 +87,52 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def in_pieces(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """doc_id, text, mark (a hash of the text) and piece (about PIECE bytes of text, by a hash of the row); how many documents; bits of a segment's number."""
+    """piece (a hash of what is in it) and packed (doc_id, text and mark, a hash of the text, of a run of about PIECE bytes of text); how many documents; bits of a segment's number."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    size = size or 0
-    piece = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // PIECE))
-    bits = min(20, max(6, (size // SEGMENT).bit_length()))
-    return docs.select("doc_id", "text", piece.alias("piece"), F.xxhash64("text").alias("mark")), n, bits
+    bits = min(20, max(6, ((size or 0) // SEGMENT).bit_length()))
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in held:
+                out.write_batch(x)
+        data = sink.getvalue().to_pybytes()
+        name = int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["piece", "packed"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_bytes = [], 0
+        for batch in batches:
+            for lo, hi, b, _ in pieces(*text_buffer(batch["text"]), PIECE, len(batch)):
+                if held and held_bytes + len(b) > PIECE:
+                    yield packed(held)
+                    held, held_bytes = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                held_bytes += len(b)
+        if held:
+            yield packed(held)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(pack, "piece long, packed binary"), n, bits
 
 
-def _sets_of(table: pa.Table | pa.RecordBatch) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Parts of a piece as _sets gives them, the piece's distinct shingles in order, and in how many rows each stands."""
-    batch = table if isinstance(table, pa.RecordBatch) else pa.RecordBatch.from_arrays([_one(table[c]) for c in ("doc_id", "text", "mark")], ["doc_id", "text", "mark"])
-    parts = list(_sets([batch]))
+def _sets_of(table: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Parts of a piece as _sets gives them, the piece's distinct shingles in order, and in how many rows each stands.  Runs that are equal make one piece."""
+    parts = list(_sets(b for x in table["packed"].to_pylist() for b in pa.ipc.open_stream(x)))
     distinct, times = np.unique(np.concatenate([p[3] for p in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
     return parts, distinct, times
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, each in as many bytes as the largest needs."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _from_steps(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -122,16 +152,14 @@ def _frequencies(rows: DataFrame, bits: int) -> DataFrame:
         out = {c: [] for c in ("piece", "segment", "keys", "small", "big")}
         for s in np.flatnonzero(at[1:] > at[:-1]).tolist():
             lo, hi = at[s], at[s + 1]
-            low = np.ascontiguousarray(distinct[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]  # at most 48 bits are left
-            for c, x in zip(out, (piece, s, low.tobytes(), *packed_counts(times[lo:hi]))):
+            low = distinct[lo:hi] & ((np.uint64(1) << shift) - np.uint64(1))
+            for c, x in zip(out, (piece, s, _steps(low), *packed_counts(times[lo:hi]))):
                 out[c].append(x)
         return pa.table(out, _ASKED)
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint8).reshape(-1, 6) for k in table["keys"].to_pylist()]
-        wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
-        wide[:, :6] = np.concatenate(keys)
-        _, which = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        keys = [_from_steps(k, len(n)) for k, n in zip(table["keys"].to_pylist(), table["small"].to_pylist())]
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
         times = np.concatenate([unpacked_counts(*x) for x in zip(table["small"].to_pylist(), table["big"].to_pylist())])
         total = np.bincount(which, weights=times).astype(np.int64)[which]
         packed = [packed_counts(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
