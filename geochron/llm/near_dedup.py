@@ -10,9 +10,12 @@ Each of BANDS * ROWS hash functions draws one consistent weighted sample of the
 the samples of a band together are a bucket.  Texts with equal weighted sets are one vertex,
 known by a hash of the set, so repeated or null doc_ids don't merge different texts.
 Of every bucket all members are compared with its smallest vertex; a pair is a link if its exact weighted
-Jaccard similarity is at least 0.8.  Links give components; then members of a bucket that
+Jaccard similarity is at least 0.8.  With ``plain`` it is a link too if the Jaccard similarity of the occurrences, without idf, is:
+what a large group of copies shares has a low idf and each one's few changes have the highest, the more so the larger the
+table, so that near copies in such groups are far apart by weight.  These links have samples and buckets of their own, as many.
+Links give components; then members of a bucket that
 weren't linked to its smallest vertex are compared with the bucket's members in other components, but for pairs that can't
-be links by their weights or by the triangle inequality of the Jaccard distance with the smallest vertex between them.
+be links by their weights (and, with ``plain``, their counts) or by the triangle inequality of the Jaccard distance with the smallest vertex between them.
 A bucket with many members to compare
 is cut into blocks of about BLOCK members; a task compares two blocks by matrix products, without a row for each pair, and
 returns only links that join components.  Classes are the components.
@@ -187,30 +190,37 @@ def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray, at: np.ndarray, hashes: int = BANDS * ROWS) -> np.ndarray:
-    """Consistent weighted samples (rows x hashes, uint64) of non-empty sets.
+    """Consistent weighted samples (rows x hashes, uint64) of non-empty sets."""
+    return samples_of(shingles, [weights], at, hashes)[0]
+
+
+def samples_of(shingles: np.ndarray, weightings: list[np.ndarray], at: np.ndarray, hashes: int = BANDS * ROWS) -> list[np.ndarray]:
+    """The samples by each of several weightings of the same sets, with the same draws.
 
     For each element r and c are drawn from Gamma(2, 1) and beta from [0, 1), all from its hash; t = floor(ln(w) / r + beta), and the
     sample is the (element, t) that minimises ln(c) - r * (t - beta + 1).
     """
     gamma, log_gamma = _gamma_tables()
-    log_w = np.log(weights).astype(np.float32)
-    out = np.zeros((len(at) - 1, hashes), np.uint64)
+    logs = [np.log(w).astype(np.float32) for w in weightings]
+    outs = [np.zeros((len(at) - 1, hashes), np.uint64) for _ in weightings]
     full = np.flatnonzero(at[1:] > at[:-1])
     if not len(full):
-        return out
+        return outs
     begin = at[:-1][full]
     low16, unit = np.uint64(0xFFFF), np.float32(1 / 65536)
     for k in range(hashes):
         u = mix64(shingles + np.uint64(((k + 1) * int(_STEP)) & 0xFFFFFFFFFFFFFFFF))
         r = gamma[u & low16]
         beta = ((u >> np.uint64(16)) & low16).astype(np.float32) * unit
-        t = np.floor(log_w / r + beta)
-        a = log_gamma[(u >> np.uint64(32)) & low16] - r * (t - beta + np.float32(1))
-        # The value in the high bits, the element and t in the low ones: one minimum finds both.
-        rank = ((np.clip(a, -1000, 24) + np.float32(1000)) * np.float32(1 << 21)).astype(np.uint64)
-        tag = (u >> np.uint64(33)) ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1))
-        out[full, k] = np.minimum.reduceat((rank << np.uint64(32)) | (tag & np.uint64(0xFFFFFFFF)), begin)
-    return out
+        log_c, high = log_gamma[(u >> np.uint64(32)) & low16], u >> np.uint64(33)
+        for log_w, out in zip(logs, outs):
+            t = np.floor(log_w / r + beta)
+            a = log_c - r * (t - beta + np.float32(1))
+            # The value in the high bits, the element and t in the low ones: one minimum finds both.
+            rank = ((np.clip(a, -1000, 24) + np.float32(1000)) * np.float32(1 << 21)).astype(np.uint64)
+            tag = high ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1))
+            out[full, k] = np.minimum.reduceat((rank << np.uint64(32)) | (tag & np.uint64(0xFFFFFFFF)), begin)
+    return outs
 
 
 def buckets_of(sample: np.ndarray) -> np.ndarray:
@@ -221,9 +231,10 @@ def buckets_of(sample: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def weighted(docs: DataFrame) -> DataFrame:
+def weighted(docs: DataFrame, plain: bool = False) -> DataFrame:
     """doc_id, mark, digest_a, digest_b (equal for equal weighted sets only), weight (of the whole set), buckets, and the
-    set as bytes: keys, 4 a shingle, and weights, 4 a shingle unless all weigh the same."""
+    set as bytes: keys, 4 a shingle, and weights, 4 a shingle unless all weigh the same.  With plain the same of the occurrences:
+    count, further buckets, and times; else these are null, none, and empty."""
     rows, n, bits = in_pieces(docs)
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -238,16 +249,18 @@ def weighted(docs: DataFrame) -> DataFrame:
             w = idf[np.searchsorted(distinct, shingles)] * times
             h = mix64(shingles * _STEP + times.astype(np.uint64))
             a, b = row_sums(h, at), row_sums(mix64(h), at)
-            s = buckets_of(samples(shingles, w, at))
-            total, w = row_sums(w, at), w.astype(np.float32)
+            s = np.hstack([buckets_of(x) for x in samples_of(shingles, [w, times.astype(np.float64)] if plain else [w], at)])
+            total, count = row_sums(w, at), row_sums(times, at)
+            w, times = w.astype(np.float32), times.astype(np.float32)
             short = (shingles >> np.uint64(22)).astype(np.uint32)
             keys = [short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-            vals = [(w[i : i + 1] if j > i and (w[i:j] == w[i]).all() else w[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
-            cols = [batch["doc_id"].slice(lo, hi - lo), batch["mark"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "digest_a", "digest_b", "weight", "buckets", "keys", "weights"]))
+            vals = [[(x[i : i + 1] if j > i and (x[i:j] == x[i]).all() else x[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])] for x in ((w, times) if plain else (w,))]
+            own = [pa.array(count.astype(np.float64)), pa.array(vals[1], pa.binary())] if plain else [pa.nulls(hi - lo, pa.float64()), pa.array([b""] * (hi - lo), pa.binary())]
+            cols = [batch["doc_id"].slice(lo, hi - lo), batch["mark"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(total), _lists(s), pa.array(keys, pa.binary()), pa.array(vals[0], pa.binary()), *own]
+            out.append(pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "digest_a", "digest_b", "weight", "buckets", "keys", "weights", "count", "times"]))
         return pa.Table.from_batches(out)
 
-    kinds = "doc_id long, mark long, digest_a long, digest_b long, weight double, buckets array<long>, keys binary, weights binary"
+    kinds = "doc_id long, mark long, digest_a long, digest_b long, weight double, buckets array<long>, keys binary, weights binary, count double, times binary"
     return rows.groupBy("piece").cogroup(_frequencies(rows, bits).groupBy("piece")).applyInArrow(run, kinds)
 
 
@@ -256,6 +269,8 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def _similarity(ka: bytes, wa: bytes, kb: bytes, wb: bytes) -> float:
+    if not wa and not wb and (ka or kb):
+        return 0.0  # not asked for
     a, b = np.frombuffer(ka, np.uint32), np.frombuffer(kb, np.uint32)
     x = np.broadcast_to(np.frombuffer(wa, np.float32), a.shape) if len(wa) == 4 else np.frombuffer(wa, np.float32)
     y = np.broadcast_to(np.frombuffer(wb, np.float32), b.shape) if len(wb) == 4 else np.frombuffer(wb, np.float32)
@@ -268,31 +283,36 @@ def _similarity(ka: bytes, wa: bytes, kb: bytes, wb: bytes) -> float:
 
 
 def similarities(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
-    """a, b and their exact weighted Jaccard similarity.  Both tables are files, so Spark can split a partition that a hot vertex fills."""
+    """a, b, their exact weighted Jaccard similarity, and that of their occurrences (0 if vecs has none).  Both tables are files, so Spark can split a partition that a hot vertex fills."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("ka", "wa", "kb", "wb")]
-            sims = pa.array([_similarity(*x) for x in zip(*cols)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], sims], ["a", "b", "sim"])
+            col = {c: batch[c].to_pylist() for c in ("ka", "wa", "ta", "kb", "wb", "tb")}
+            sims = [pa.array([_similarity(*x) for x in zip(*(col[c] for c in own))], pa.float64()) for own in (("ka", "wa", "kb", "wb"), ("ka", "ta", "kb", "tb"))]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sims], ["a", "b", "sim", "alike"])
 
-    left = vecs.toDF("a", "ka", "wa")
-    right = vecs.toDF("b", "kb", "wb")
+    left = vecs.toDF("a", "ka", "wa", "ta")
+    right = vecs.toDF("b", "kb", "wb", "tb")
     one = written(pairs.join(left, "a"), "near-half")
-    return one.join(right, "b").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(run, "a long, b long, sim double")
+    return one.join(right, "b").select("a", "b", "ka", "wa", "ta", "kb", "wb", "tb").mapInArrow(run, "a long, b long, sim double, alike double")
+
+
+#: Two vertices whose similarities are measured are linked.
+_LINK = f"sim >= {SIMILARITY} or alike >= {SIMILARITY}"
 
 
-_PACKED = pa.schema([("band", pa.int32()), ("h", pa.int64()), ("blk", pa.int64()), ("blocks", pa.int64()), *((c, pa.binary()) for c in ("ids", "comps", "sizes", "keys", "weights"))])
+_PACKED = pa.schema([("band", pa.int32()), ("h", pa.int64()), ("blk", pa.int64()), ("blocks", pa.int64()), *((c, pa.binary()) for c in ("ids", "comps", "sizes", "keys", "weights", "times"))])
 
 
 def _pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All sets of a block in one row."""
     rows = [r for b in batches for r in b.to_pylist()]
     keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-    weights = [np.broadcast_to(np.frombuffer(r["weights"], np.float32), k.shape) for r, k in zip(rows, keys)]
+    weights, times = ([np.broadcast_to(np.frombuffer(r[c], np.float32), k.shape) for r, k in zip(rows, keys) if r[c]] for c in ("weights", "times"))
+    none = [np.zeros(0, np.float32)]
     col = lambda x, t: np.array(x, t).tobytes()
     row = {"band": rows[0]["band"], "h": rows[0]["h"], "blk": rows[0]["blk"], "blocks": rows[0]["blocks"], "ids": col([r["v"] for r in rows], np.int64), "comps": col([r["c"] for r in rows], np.int64)}
-    row |= {"sizes": col([len(k) for k in keys], np.int64), "keys": np.concatenate(keys).tobytes(), "weights": np.concatenate(weights).tobytes()}
+    row |= {"sizes": col([len(k) for k in keys], np.int64), "keys": np.concatenate(keys).tobytes(), "weights": np.concatenate(weights or none).tobytes(), "times": np.concatenate(times or none).tobytes()}
     yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
 
 
@@ -304,9 +324,12 @@ def _compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     edges = []
     if (comps != comps[0]).any():
         first = len(rows[0]["ids"]) // 8
-        sim = common_weights(join("keys", np.uint32), join("weights", np.float32).astype(np.float64), sizes)
-        total = np.diag(sim).copy()
-        sim = sim / (total[:, None] + total[None, :] - sim)
+        sim = np.zeros((len(ids), len(ids)))
+        for weights in (join(c, np.float32).astype(np.float64) for c in ("weights", "times")):
+            if len(weights):
+                common = common_weights(join("keys", np.uint32), weights, sizes)
+                total = np.diag(common)
+                sim = np.maximum(sim, common / (total[:, None] + total[None, :] - common))
         wanted = (sim >= SIMILARITY) & (comps[:, None] != comps[None, :]) & (np.arange(len(ids))[:, None] < np.arange(len(ids)))
         if len(rows) > 1:
             wanted[:first, :first] = wanted[first:, first:] = False
@@ -367,40 +390,41 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         label = nxt.select("v", "c")
 
 
-def _members(docs: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, plain: bool) -> DataFrame:
     """doc_id, mark, v and c of each row: hashes of its text and weighted set, and its class.  A table; those on the way to it are deleted."""
     with passing_tables():
-        return _found_members(docs)
+        return _found_members(docs, plain)
 
 
-def _found_members(docs: DataFrame) -> DataFrame:
+def _found_members(docs: DataFrame, plain: bool) -> DataFrame:
     spark = docs.sparkSession
-    sets = written(weighted(docs).withColumn("v", F.xxhash64("digest_a", "digest_b")), "near-sets")
-    vertex = sets.select("v", "weight", "buckets", (2 * F.octet_length("keys")).alias("bytes")).dropDuplicates(["v"])
-    bucket = written(vertex.select("v", "weight", F.posexplode("buckets").alias("band", "h")), "near-buckets")
-    heads = bucket.groupBy("band", "h").agg(F.min(F.struct("v", "weight")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = written(heads.select("band", "h", F.col("p.v").alias("p"), F.col("p.weight").alias("pw")), "near-heads")
+    sets = written(weighted(docs, plain).withColumn("v", F.xxhash64("digest_a", "digest_b")), "near-sets")
+    vertex = sets.select("v", "weight", "count", "buckets", ((3 if plain else 2) * F.octet_length("keys")).alias("bytes")).dropDuplicates(["v"])
+    bucket = written(vertex.select("v", "weight", "count", F.posexplode("buckets").alias("band", "h")), "near-buckets")
+    heads = bucket.groupBy("band", "h").agg(F.min(F.struct("v", "weight", "count")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = written(heads.select("band", "h", F.col("p.v").alias("p"), F.col("p.weight").alias("pw"), F.col("p.count").alias("pc")), "near-heads")
     # A set of weight x can't reach similarity s with one of weight y unless s <= x / y <= 1 / s.
-    near = lambda x, y: F.least(x, y) >= SIMILARITY * 0.999 * F.greatest(x, y)
-    shared = written(bucket.join(heads, ["band", "h"]).where("v <> p").select("band", "h", "v", "weight", "p", "pw", near(F.col("weight"), F.col("pw")).alias("fits")), "near-shared")
+    near = lambda x, y: F.coalesce(F.least(x, y) >= SIMILARITY * 0.999 * F.greatest(x, y), F.lit(False))
+    shared = written(bucket.join(heads, ["band", "h"]).where("v <> p").select("band", "h", "v", "weight", "count", "p", "pw", "pc", (near(F.col("weight"), F.col("pw")) | near(F.col("count"), F.col("pc"))).alias("fits")), "near-shared")
     pairs = written(shared.where("fits").select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
     ends = pairs.select("a").union(pairs.select("b")).union(shared.select("v")).distinct().toDF("v")
-    vecs = sets.select("v", "keys", "weights").join(written(ends, "near-ends"), "v", "left_semi")
+    vecs = sets.select("v", "keys", "weights", "times").join(written(ends, "near-ends"), "v", "left_semi")
     vecs = written(vecs.dropDuplicates(["v"]), "near-vectors")
     sims = written(similarities(pairs, vecs), "near-similarities")
-    edges = sims.where(F.col("sim") >= SIMILARITY).select("a", "b")
+    edges = sims.where(_LINK).select("a", "b")
     comp = components(spark, edges)
     # Members that aren't linked to their bucket's head, against the members of other components.  Their distances from the head,
     # where not measured, are at least what the weights say.
-    shared = shared.join(sims.toDF("p", "v", "sim"), ["p", "v"], "left")
-    ratio = F.least("weight", "pw") / F.greatest("weight", "pw")
-    low, high = F.coalesce(1 - F.col("sim"), 1 - ratio), F.coalesce(1 - F.col("sim"), F.lit(1.0))
-    state = shared.withColumns({"low": low, "high": high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(vertex.select("v", "buckets", "bytes"), "v")
-    state = written(state.select("band", "h", "v", "weight", "c", "low", "high", "buckets", "bytes", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")), "near-state")
+    shared = shared.join(sims.toDF("p", "v", "sim", "alike"), ["p", "v"], "left")
+    ratios = [F.least(x, y) / F.greatest(x, y) for x, y in (("weight", "pw"), ("count", "pc"))]
+    (low, high), (own_low, own_high) = [(F.coalesce(1 - F.col(c), 1 - r), F.coalesce(1 - F.col(c), F.lit(1.0))) for c, r in zip(("sim", "alike"), ratios)]
+    state = shared.withColumns({"low": low, "high": high, "own_low": own_low, "own_high": own_high}).join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")).join(vertex.select("v", "buckets", "bytes"), "v")
+    linked = F.coalesce(F.expr(_LINK), F.lit(False)).alias("linked")
+    state = written(state.select("band", "h", "v", "weight", "count", "c", "low", "high", "own_low", "own_high", "buckets", "bytes", linked), "near-state")
     size = state.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("r"), F.sum("bytes").alias("bucket_bytes")).where("r > 0")
     state = state.join(written(size, "near-open"), ["band", "h"])
     large = state.where(F.col("n") * F.col("r") > PAIRS).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bucket_bytes") / BLOCK_BYTES))).withColumn("blk", F.pmod(F.xxhash64("v"), "blocks"))
-    packed = large.select("band", "h", "blocks", "blk", "v", "c").join(vecs, "v").groupBy("band", "h", "blk").applyInArrow(_pack, "band int, h long, blk long, blocks long, ids binary, comps binary, sizes binary, keys binary, weights binary")
+    packed = large.select("band", "h", "blocks", "blk", "v", "c").join(vecs, "v").groupBy("band", "h", "blk").applyInArrow(_pack, "band int, h long, blk long, blocks long, ids binary, comps binary, sizes binary, keys binary, weights binary, times binary")
     meet = written(packed, "near-packed").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     joined = written(meet.groupBy("band", "h", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")).applyInArrow(_compare, "a long, b long"), "near-joined")
     state = state.where(F.col("n") * F.col("r") <= PAIRS)
@@ -409,19 +433,22 @@ def _found_members(docs: DataFrame) -> DataFrame:
     names = [c for c in state.columns if c not in ("band", "h")]
     others = state.toDF(*[f"u_{c}" if c in names else c for c in state.columns])
     u = lambda c: F.col("u_" + c)
-    apart = F.greatest(F.col("low") - u("high"), u("low") - F.col("high"))
+    apart = lambda low, high: F.greatest(F.col(low) - u(high), u(low) - F.col(high)) <= 1.001 * (1 - SIMILARITY)
+    possible = near(F.col("weight"), u("weight")) & apart("low", "high")
+    if plain:
+        possible = possible | near(F.col("count"), u("count")) & apart("own_low", "own_high")
     earlier = F.exists(F.slice(F.zip_with("buckets", "u_buckets", lambda x, y: x == y), F.lit(1), F.col("band")), lambda x: x)
-    worth = (F.col("c") != u("c")) & (u("linked") | (F.col("v") < u("v"))) & near(F.col("weight"), u("weight")) & (apart <= 1.001 * (1 - SIMILARITY)) & ~earlier
+    worth = (F.col("c") != u("c")) & (u("linked") | (F.col("v") < u("v"))) & possible & ~earlier
     more = rest.join(others.withColumnsRenamed({"band": "u_band", "h": "u_h"}), (F.col("band") == F.col("u_band")) & (F.col("h") == F.col("u_h")) & worth)
     more = written(more.select(F.least("v", "u_v").alias("a"), F.greatest("v", "u_v").alias("b")).distinct(), "near-pairs")
-    found = similarities(more, vecs).where(F.col("sim") >= SIMILARITY).select("a", "b")
+    found = similarities(more, vecs).where(_LINK).select("a", "b")
     comp = written(components(spark, edges.union(found).union(joined)), "near-components")
     return written(sets.select("doc_id", "mark", "v").join(comp, "v", "left").select("doc_id", "mark", "v", F.coalesce("c", "v").alias("c")), "near-classes", keep=True)
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, plain: bool = False) -> DataFrame:
     """doc_id, class_id, vertex_id (the smallest doc_id of those with the same weighted set), class_size."""
-    members = _members(docs)
+    members = _members(docs, plain)
     least = F.min(F.struct("doc_id"))["doc_id"]  # of structs, as min() leaves out nulls
     vertices = written(members.groupBy("v", "c").agg(least.alias("doc_id"), F.count(F.lit(1)).alias("n")), "near-vertices")
     classes = written(vertices.groupBy("c").agg(least.alias("class_id"), F.sum("n").alias("class_size")), "near-sizes")
@@ -430,14 +457,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"), plain=True)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, plain: bool = False) -> DataFrame:
     """One document of each class, the one with the smallest doc_id (null first, then by the text's hash), with all its columns and repeats."""
     row = F.struct("doc_id", "mark")
     ident, hashed = free_names(docs, "_id", "_mark")
-    members = _members(docs)
+    members = _members(docs, plain)
     kept = written(members.groupBy("c").agg(F.min(row).alias("kept")), "near-kept")
     drop = members.join(kept, "c").where(row != F.col("kept")).select(F.col("doc_id").alias(ident), F.col("mark").alias(hashed)).distinct()
     drop = written(drop, "near-drop")  # its size is known then, and texts aren't shuffled to meet few rows
