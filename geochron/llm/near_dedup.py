@@ -29,6 +29,7 @@ an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -51,6 +52,8 @@ PIECE, SEGMENT = 1 << 21, 1 << 24
 PAIRS, BLOCK = 2048, 192
 #: Bytes of weighted sets that a block holds, about: documents may be very long.
 BLOCK_BYTES = 48 << 20
+#: Most bitmaps, of 32,768 bits each, that are broadcast to tell which sets are to be compared.
+MAPS = 8192
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -390,6 +393,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         label = nxt.select("v", "c")
 
 
+def _probably_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose v is in wanted, and about one in sixteen of the others, by a bitmap: so that few sets are shuffled to be joined.  The bitmap
+    has at most MAPS * 4 KB; if that is too few bits, more rows pass."""
+    maps = max(1, min(MAPS, math.ceil(wanted.count() * 16 / (1 << 15))))
+    place = F.pmod("v", F.lit(maps << 15))
+    slot, bit = F.shiftright(place, 15).alias("slot"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")
+    bitmaps = wanted.select(slot, bit).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    on = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return rows.select("*", slot, bit).join(F.broadcast(bitmaps), "slot").where(on).select(*rows.columns)
+
+
 def _members(docs: DataFrame, plain: bool) -> DataFrame:
     """doc_id, mark, v and c of each row: hashes of its text and weighted set, and its class.  A table; those on the way to it are deleted."""
     with passing_tables():
@@ -408,7 +422,7 @@ def _found_members(docs: DataFrame, plain: bool) -> DataFrame:
     shared = written(bucket.join(heads, ["band", "h"]).where("v <> p").select("band", "h", "v", "weight", "count", "p", "pw", "pc", (near(F.col("weight"), F.col("pw")) | near(F.col("count"), F.col("pc"))).alias("fits")), "near-shared")
     pairs = written(shared.where("fits").select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
     ends = pairs.select("a").union(pairs.select("b")).union(shared.select("v")).distinct().toDF("v")
-    vecs = sets.select("v", "keys", "weights", "times").join(written(ends, "near-ends"), "v", "left_semi")
+    vecs = _probably_in(sets.select("v", "keys", "weights", "times"), ends := written(ends, "near-ends")).join(ends, "v", "left_semi")
     vecs = written(vecs.dropDuplicates(["v"]), "near-vectors")
     sims = written(similarities(pairs, vecs), "near-similarities")
     edges = sims.where(_LINK).select("a", "b")

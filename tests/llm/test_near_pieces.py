@@ -26,3 +26,12 @@ def test_differences_of_shingles():
         data = near_dedup._steps(keys)
         assert (near_dedup._from_steps(data, len(keys)) == keys).all()
     assert len(data) == 5 * len(keys)
+
+
+def test_few_other_sets_pass_the_bitmap(spark):
+    rows = spark.range(40_000).selectExpr("xxhash64(id) as v", "id")
+    wanted = rows.where("id % 5 = 0").select("v")
+    got = near_dedup._probably_in(rows, wanted).select("id").collect()
+    found = {r["id"] for r in got}
+    assert found >= set(range(0, 40_000, 5)) and len(got) == len(found) < 8000 + 32_000 / 10
+    assert near_dedup._probably_in(rows, wanted.limit(0)).count() == 0
