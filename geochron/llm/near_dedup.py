@@ -422,7 +422,7 @@ def _found_members(docs: DataFrame, plain: bool) -> DataFrame:
     shared = written(bucket.join(heads, ["band", "h"]).where("v <> p").select("band", "h", "v", "weight", "count", "p", "pw", "pc", (near(F.col("weight"), F.col("pw")) | near(F.col("count"), F.col("pc"))).alias("fits")), "near-shared")
     pairs = written(shared.where("fits").select(F.col("p").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
     ends = pairs.select("a").union(pairs.select("b")).union(shared.select("v")).distinct().toDF("v")
-    vecs = _probably_in(sets.select("v", "keys", "weights", "times"), ends := written(ends, "near-ends")).join(ends, "v", "left_semi")
+    vecs = _probably_in(sets.select("v", "keys", "weights", "times"), ends := written(ends, "near-ends")).join(ends, "v")  # a semi join would be planned below the bitmap
     vecs = written(vecs.dropDuplicates(["v"]), "near-vectors")
     sims = written(similarities(pairs, vecs), "near-similarities")
     edges = sims.where(_LINK).select("a", "b")
